@@ -7,9 +7,10 @@ band are candidates, and a candidate pair is a link if its exact weighted Jaccar
 SIMILARITY or more. Classes are the connected components of the links.
 
 Equal texts are one node from the start. In a band's bucket each node is first compared with the
-bucket's least node; nodes that this leaves in different classes are then compared with each
-other, so a bucket of any size whose members belong together costs as many comparisons as it has
-members, and no link between candidates of different classes is left out.
+bucket's leader, the node that shares most buckets; nodes that this leaves in different classes
+are then compared with each other, block by block. A bucket of any size whose members belong
+together costs as many comparisons as it has members, and no link between candidates of
+different classes is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 20, 1 << 14
 IDF_SHARE = 0.25
 #: Candidate documents whose ids may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Nodes in a block when a family that its leader leaves in several classes is compared.
+BLOCK = 1_500
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -203,6 +206,56 @@ def _verified(rows: DataFrame, pairs: DataFrame, shared, least: float) -> DataFr
     return both.select("x", "y", hashed("tx"), hashed("ty")).mapInArrow(check, "x long, y long")
 
 
+def _rest(rows: DataFrame, led: DataFrame, found: DataFrame, shared, least: float) -> DataFrame | None:
+    """Links between nodes with one leader that are still in different classes; None if there are no such nodes.
+
+    Under each leader the nodes outside its largest class are compared with all its nodes. Both
+    sides are cut into blocks of BLOCK nodes and every pair of blocks is a group of its own, so
+    no task's input grows with a family, and pairs exist only as sums inside a task.
+    """
+    split = led.join(found.select("node", "class"), "node", "left").select("y", "node", F.coalesce("class", "node").alias("c"))
+    parts = split.groupBy("y", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("y").agg(F.max(F.struct("n", "c"))["c"].alias("m"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("y", "m", blocks(F.col("all")).alias("bm"), blocks(F.col("all") - F.col("most")).alias("bl"))
+    split = _freed(split.join(main, "y"), "near-split")
+    if not split.limit(1).count():
+        return None
+    asked = _freed(split.select(F.col("node").alias("_id")).distinct(), "near-asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = _freed(rows.select("_id", "_text").join(asked, "_id"), "near-texts").select(F.col("_id").alias("node"), "_text")
+    full = split.join(texts, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = lambda lone, l, m: ["y", l.alias("l"), m.alias("m"), F.lit(lone).alias("lone"), "node", "c", (F.col("c") == F.col("m")).alias("main"), "_text"]  # noqa: E731, E741
+    pairs = full.filter("c <> m").select(*columns(True, own(F.col("bl")), every(F.col("bm")))).unionByName(full.select(*columns(False, every(F.col("bl")), own(F.col("bm")))))
+    pairs = pairs.select("y", "l", "m", "lone", "node", "c", "main", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        weights = shared.value
+        lone, node, c, main = (group.column(n).to_numpy() for n in ("lone", "node", "c", "main"))
+        vectors = [weights.of(h) for h in _texts(group.column("_h").combine_chunks())]
+        them = np.flatnonzero(~lone)
+        x, y = [], []
+        if len(them):
+            place = np.repeat(np.arange(len(them)), [len(vectors[k][0]) for k in them])
+            s, w = (np.concatenate([vectors[k][j] for k in them]) for j in (0, 1))
+            order = np.argsort(s, kind="stable")
+            s, w, place = s[order], w[order].astype(np.float64), place[order]
+            totals = np.array([vectors[k][1].sum(dtype=np.float64) for k in them])
+            for k in np.flatnonzero(lone):
+                t, v = vectors[k]
+                a, z = np.searchsorted(s, t), np.searchsorted(s, t, side="right")
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(z - a)[:-1]]), z - a) + np.arange((z - a).sum())
+                low = np.bincount(place[at], weights=np.minimum(w[at], np.repeat(v, z - a)), minlength=len(them))
+                good = low >= least * (totals + v.sum(dtype=np.float64) - low)
+                for j in them[good & (c[them] != c[k]) & (main[them] | (node[them] < node[k]))]:
+                    x.append(max(node[k], node[j])), y.append(min(node[k], node[j]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return _freed(pairs.groupBy("y", "l", "m").applyInArrow(compare, "x long, y long").distinct(), "near-links")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(key, class_id, n_texts, kept) for each input row.
 
@@ -249,26 +302,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     nodes = _freed(named.join(nodes, ["a", "b"]).select("_id", "node").distinct(), "near-nodes")
     signed = hashed.mapInArrow(sign, "_id long, k long")
     bands = _freed(signed.join(nodes.filter("_id = node").select("_id").distinct(), "_id").select("k", F.col("_id").alias("node")).distinct(), "near-bands")
-    # First every node against the least one of each of its buckets.
-    leaders = bands.groupBy("k").agg(F.min("node").alias("y"), F.max("node").alias("z")).filter("y <> z").select("k", "y")
-    crowded = _freed(bands.join(leaders, "k"), "near-buckets")
-    stars = _freed(crowded.filter("node <> y").select(F.col("node").alias("x"), "y").distinct(), "near-stars")
+    # First every node against the leader of each of its buckets: the node whose buckets hold most nodes, which is
+    # the one that the others of a family resemble most.
+    sizes = bands.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    shared_bands = _freed(bands.join(sizes, "k"), "near-shared")
+    known = shared_bands.join(shared_bands.groupBy("node").agg(F.sum("n").alias("p")), "node")
+    leaders = known.groupBy("k").agg((-F.max(F.struct("p", (-F.col("node")).alias("m")))["m"]).alias("y"))
+    led = _freed(shared_bands.join(leaders, "k").select("y", "node").distinct(), "near-led")
+    stars = led.filter("node <> y").select(F.col("node").alias("x"), "y")
     links = _freed(_verified(rows, stars, shared, least), "near-links")
     # One document that has several texts holds them together.
     links = links.union(nodes.filter("_id <> node").join(nodes.filter("_id = node").select("_id"), "_id", "left_semi").select(F.col("_id").alias("x"), F.col("node").alias("y")))
     found = components(links)
-    # Then nodes of one bucket that are in different classes so far.
-    label = found.select("node", "class")
-    split = crowded.join(label, "node", "left").select("k", "node", F.coalesce("class", "node").alias("c"))
-    sizes = split.groupBy("k", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("k").agg(F.max(F.struct("n", "c"))["c"].alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("k", "m")
-    split = _freed(split.join(main, "k"), "near-split")
-    if split.limit(1).count():
-        lone = split.filter("c <> m").select("k", F.col("node").alias("x"), F.col("c").alias("cx"))
-        rest = lone.join(split.select("k", F.col("node").alias("y"), F.col("c").alias("cy"), "m"), "k").filter("cx <> cy and (cy = m or x > y)")
-        ordered = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        more = _freed(ordered.join(stars, ["x", "y"], "left_anti"), "near-rest")
-        links = links.union(_freed(_verified(rows, more, shared, least), "near-links"))
+    more = _rest(rows, led, found, shared, least)
+    if more is not None:
+        links = links.union(more)
         found = components(links)
     joined = nodes.join(found, "node", "left").select("_id", F.col("node"), F.coalesce("class", "node").alias("class_id"))
     member = joined.groupBy("_id").agg(F.min("class_id").alias("class_id"))
