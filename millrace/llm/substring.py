@@ -29,7 +29,7 @@ REACH = WINDOW - GRAM + 1
 #: Distinct passages of one anchor that go through an index; those of others are settled by windows.
 MOST_PASSAGES = 1_000
 #: Passages in a shard, in expectation (about 30 words each).
-SHARD_PASSAGES = 25_000
+SHARD_PASSAGES = 10_000
 #: Rows that may be broadcast: single longs, and short lists.
 BROADCAST_KEYS, BROADCAST_LISTS = 2_000_000, 50_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
