@@ -1,13 +1,29 @@
-"""Scans, filters, projections and aggregates over the star schema."""
+"""Scans, projections, aggregates, set operations, ordering and joins over the star schema."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.functions import aggregates as A
+from millrace.operators import joins, ranking, setops
 from millrace.plans.registry import query
 
 
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def money(c: str):
+    return F.col(c).cast("decimal(12,2)")
+
+
+@query("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'R'")
+def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "lineitem").filter((F.col("l_quantity") > 40) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("twice"))
+
+
 @query(
     "agg_group",
     """
@@ -20,13 +36,268 @@ from millrace.plans.registry import query
 )
 def agg_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        t(spark, sf_dir, "lineitem")
         .filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
         .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("sum_qty"),
-            F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("sum_price"),
-            F.round(F.avg("l_discount"), 4).alias("avg_disc"),
-            F.count("*").alias("n"),
-        )
+        .agg(F.sum(money("l_quantity")).alias("sum_qty"), F.sum(money("l_extendedprice")).alias("sum_price"), F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count("*").alias("n"))
+    )
+
+
+@query("agg_global", "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(CAST(l_quantity AS DOUBLE)), 4) AS mean FROM lineitem")
+def agg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "lineitem").agg(A.count_all().alias("n"), A.total("l_linenumber", T.IntegerType()).alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.round(A.average("l_quantity"), 4).alias("mean"))
+
+
+@query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def agg_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 12")
+
+
+@query("agg_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, count(value) AS vals, count(*) AS n FROM events GROUP BY event_type")
+def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("value").alias("vals"), F.count("*").alias("n"))
+
+
+@query("agg_null_group", "SELECT CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey % 5 END AS k, count(*) AS n, sum(CASE WHEN c_nationkey % 5 = 1 THEN NULL ELSE CAST(1 AS BIGINT) END)::BIGINT AS s FROM customer GROUP BY 1")
+def agg_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five = F.col("c_nationkey") % 5
+    rows = t(spark, sf_dir, "customer").select(F.when(five != 0, five).alias("k"), F.when(five != 1, F.lit(1)).alias("v"))
+    return rows.groupBy("k").agg(F.count("*").alias("n"), A.total("v", T.IntegerType()).alias("s"))
+
+
+@query(
+    "agg_stats",
+    """
+    SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 6) AS va,
+           round(stddev_pop(l_quantity), 6) AS sdp, round(var_pop(l_quantity), 6) AS vap
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = "l_quantity"
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(f(q), 6).alias(n) for f, n in ((F.stddev_samp, "sd"), (F.var_samp, "va"), (F.stddev_pop, "sdp"), (F.var_pop, "vap"))])
+
+
+@query(
+    "agg_string",
+    """
+    SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, string_agg(DISTINCT left(n_name, 1), '|' ORDER BY left(n_name, 1)) AS initials
+    FROM nation GROUP BY n_regionkey
+    """,
+)
+def agg_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "nation").withColumn("initial", F.left("n_name", F.lit(1)))
+    return rows.groupBy("n_regionkey").agg(A.string_agg("n_name").alias("names"), A.string_agg("initial", "|", distinct=True).alias("initials"))
+
+
+@query("agg_array", "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS keys, list(DISTINCT length(n_name) ORDER BY length(n_name)) AS lengths FROM nation GROUP BY n_regionkey")
+def agg_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "nation").withColumn("len", F.length("n_name").cast("bigint"))
+    return rows.groupBy("n_regionkey").agg(A.array_agg("n_nationkey").alias("keys"), A.array_agg("len", distinct=True).alias("lengths"))
+
+
+@query("agg_percentile", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
+def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(A.percentile("l_quantity", 0.5), 6).alias("p50"), F.round(A.percentile("l_extendedprice", 0.9), 4).alias("p90"))
+
+
+@query("agg_approx_percentile")
+def agg_approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(A.approx_percentile("l_quantity", 0.5).alias("p50"))
+
+
+@query("agg_user_defined", "SELECT event_type, round(sum(value * value), 2) AS sq FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def agg_user_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    A.register_aggregate("sum_squares", "double", lambda v: float((v * v).sum()))
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(A.user_aggregate("sum_squares", "value"), 2).alias("sq"))
+
+
+@query("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.distinct(t(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nation keys of customers and suppliers, with duplicates and NULLs."""
+    null = lambda c: F.when(F.col(c) % 7 != 0, F.col(c)).alias("k")
+    return t(spark, sf_dir, "customer").select(null("c_nationkey")), t(spark, sf_dir, "supplier").select(null("s_nationkey"))
+
+
+C_SQL = "SELECT CASE WHEN c_nationkey % 7 <> 0 THEN c_nationkey END AS k FROM customer"
+S_SQL = "SELECT CASE WHEN s_nationkey % 7 <> 0 THEN s_nationkey END AS k FROM supplier"
+
+
+@query("union_all", f"{C_SQL} UNION ALL {S_SQL}")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.union_all(*_nations(spark, sf_dir))
+
+
+@query("union_distinct", f"{C_SQL} UNION {S_SQL}")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.union(*_nations(spark, sf_dir))
+
+
+@query("intersect", f"{C_SQL} INTERSECT {S_SQL}")
+def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.intersect(*_nations(spark, sf_dir))
+
+
+@query("intersect_all", f"{C_SQL} INTERSECT ALL {S_SQL}")
+def intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.intersect(*_nations(spark, sf_dir), keep_all=True)
+
+
+@query("except", f"{C_SQL} EXCEPT (SELECT * FROM ({S_SQL}) WHERE k > 10)")
+def except_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _nations(spark, sf_dir)
+    return setops.subtract(a, b.filter("k > 10"))
+
+
+@query("except_all", f"{C_SQL} EXCEPT ALL {S_SQL}")
+def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.subtract(*_nations(spark, sf_dir), keep_all=True)
+
+
+@query("changelog_net", f"WITH d AS ({C_SQL} EXCEPT ALL {S_SQL}) SELECT k, count(*) AS n FROM d GROUP BY k")
+def changelog_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _nations(spark, sf_dir)
+    log = a.withColumn(setops.ROW_KIND, F.lit("insert")).union(b.withColumn(setops.ROW_KIND, F.lit("delete")))
+    return setops.net(log).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("changelog_upsert", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def changelog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("update_after").alias(setops.ROW_KIND))
+    return setops.upserts(log, ["user_id"], ["event_id"]).select("user_id", "event_type")
+
+
+@query("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5")
+def order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_n(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc_nulls_last("o_totalprice"), F.col("o_orderkey")], 20, 5)
+
+
+@query("limit_rows", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 17 OFFSET 3)")
+def limit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.limit(t(spark, sf_dir, "orders"), 17, 3).agg(F.count("*").alias("n"))
+
+
+def _customers_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").filter("c_custkey % 3 <> 0")
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").filter("o_orderkey % 4 = 1")
+    return c, o
+
+
+for _kind in joins.KINDS:
+
+    @query(
+        f"join_{_kind}",
+        f"""
+        SELECT c.c_custkey AS c_c_custkey, c.c_nationkey AS c_c_nationkey, o.o_orderkey AS o_o_orderkey, o.o_custkey AS o_o_custkey
+        FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0) c
+        {_kind} JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 = 1) o ON c.c_custkey = o.o_custkey
+        """,
     )
+    def _join(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        return joins.equi(*_customers_orders(spark, sf_dir), "c", "o", [("c_custkey", "o_custkey")], kind)
+
+
+@query(
+    "join_multiway",
+    """
+    SELECT r_name, n_name, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS revenue
+    FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey
+    JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE r_name = 'ASIA' GROUP BY r_name, n_name
+    """,
+)
+def join_multiway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [(t(spark, sf_dir, n), a) for n, a in (("region", "r"), ("nation", "n"), ("customer", "c"), ("orders", "o"), ("lineitem", "l"))]
+    tables[0] = (tables[0][0].filter("r_name = 'ASIA'"), "r")
+    out = joins.multiway(tables, [("r_r_regionkey", "n_n_regionkey"), ("n_n_nationkey", "c_c_nationkey"), ("c_c_custkey", "o_o_custkey"), ("o_o_orderkey", "l_l_orderkey")])
+    return out.groupBy(F.col("r_r_name").alias("r_name"), F.col("n_n_name").alias("n_name")).agg(F.count("*").alias("n"), F.sum(money("l_l_extendedprice")).alias("revenue"))
+
+
+INTERVAL_SQL = """
+    SELECT a.event_id AS a_event_id, b.event_id AS b_event_id
+    FROM (SELECT * FROM events WHERE event_type = 'click') a {kind} JOIN (SELECT * FROM events WHERE event_type = 'purchase') b
+    ON a.user_id = b.user_id AND a.ts >= b.ts - INTERVAL 30 MINUTE AND a.ts <= b.ts + INTERVAL 10 MINUTE
+"""
+
+
+def _interval(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    e = t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    a, b = (e.filter(F.col("event_type") == x).drop("event_type") for x in ("click", "purchase"))
+    return joins.interval(a, b, "a", "b", [("user_id", "user_id")], "ts", "ts", -1_800_000, 600_000, kind).select("a_event_id", *([] if "_" in kind else ["b_event_id"]))
+
+
+for _kind in joins.KINDS:
+
+    @query("join_interval" if _kind == "inner" else f"join_interval_{_kind}", INTERVAL_SQL.format(kind=_kind))
+    def _join_interval(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        return _interval(spark, sf_dir, kind)
+
+
+for _kind, _sql in (("left_semi", "SEMI"), ("left_anti", "ANTI")):
+
+    @query(f"join_interval_{_kind[5:]}", INTERVAL_SQL.format(kind=_sql).replace(", b.event_id AS b_event_id", ""))
+    def _join_interval_half(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        return _interval(spark, sf_dir, kind)
+
+
+for _kind in ("inner", "left"):
+
+    @query(f"join_lookup_{_kind}", f"SELECT n.n_nationkey, n.n_name, r.label FROM nation n {_kind} JOIN (SELECT r_regionkey, 'region ' || r_regionkey AS label FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey")
+    def _lookup(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        def find(row: dict) -> dict | None:
+            return {"label": f"region {row['n_regionkey']}"} if row["n_regionkey"] < 3 else None
+
+        return joins.lookup(t(spark, sf_dir, "nation"), find, "label string", kind).select("n_nationkey", "n_name", "label")
+
+
+@query("async_map", "SELECT p_partkey, upper(p_brand) AS brand FROM part")
+def async_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.async_map(t(spark, sf_dir, "part").select("p_partkey", "p_brand"), lambda r: {"p_partkey": r["p_partkey"], "brand": r["p_brand"].upper()}, "p_partkey long, brand string")
+
+
+@query("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.semi(t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), [("c_custkey", "o_custkey")]).select("c_custkey")
+
+
+@query("semi_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > 9000)")
+def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.semi(t(spark, sf_dir, "supplier"), t(spark, sf_dir, "customer").filter("c_acctbal > 9000"), [("s_nationkey", "c_nationkey")]).select("s_suppkey")
+
+
+@query("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def anti_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.anti(t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders"), [("c_custkey", "o_custkey")]).select("c_custkey")
+
+
+@query("anti_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def anti_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.not_in(t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders").filter("o_custkey is not null"), [("c_custkey", "o_custkey")]).select("c_custkey")
+
+
+@query("anti_not_in_nulls", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END FROM orders)")
+def anti_not_in_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("k"))
+    return joins.not_in(t(spark, sf_dir, "customer"), o, [("c_custkey", "k")]).select("c_custkey")
+
+
+@query("anti_not_in_pairs", "SELECT n_nationkey FROM nation WHERE (n_nationkey, n_regionkey) NOT IN (SELECT s_nationkey, CASE WHEN s_nationkey % 2 = 0 THEN 1 END FROM supplier)")
+def anti_not_in_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t(spark, sf_dir, "supplier").select("s_nationkey", F.when(F.col("s_nationkey") % 2 == 0, F.lit(1)).alias("r"))
+    return joins.not_in(t(spark, sf_dir, "nation"), s, [("n_nationkey", "s_nationkey"), ("n_regionkey", "r")]).select("n_nationkey")
+
+
+@query("scalar_where", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+def scalar_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return joins.scalar_filter(c, "c_acctbal", ">", c.agg(F.avg("c_acctbal").alias("a")))
+
+
+@query("scalar_select", "SELECT n_nationkey, (SELECT max(o_totalprice) FROM orders) AS top, (SELECT max(o_totalprice) FROM orders WHERE false) AS none FROM nation")
+def scalar_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t(spark, sf_dir, "orders")
+    top = joins.scalar_select(t(spark, sf_dir, "nation").select("n_nationkey"), "top", o.agg(F.max("o_totalprice").alias("m")))
+    return joins.scalar_select(top, "none", o.filter("false").agg(F.max("o_totalprice").alias("m")))
