@@ -58,7 +58,7 @@ def running(df: DataFrame, keys: list[str], order: str, frame: str = "running",
     return df.select("*", *[c.over(w).alias(n) for n, c in aggregates.items()])
 
 
-def last_n(df: DataFrame, key: str, order: list[str], n: int, **aggregates: Column) -> DataFrame:
-    """Aggregates over the last n rows of each key, a row for each key. Only n rows of a key leave each task."""
-    kept = top_n_per_key(df, [key], [F.desc(c) for c in order], n)
+def last_n(df: DataFrame, key: str, order: list[str], size: int, **aggregates: Column) -> DataFrame:
+    """Aggregates over the last `size` rows of each key, a row for each key. Only so many rows of a key leave each task."""
+    kept = top_n_per_key(df, [key], [F.desc(c) for c in order], size)
     return kept.groupBy(key).agg(*[c.alias(a) for a, c in aggregates.items()])
