@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import eventtime, relational  # noqa: F401
+from millrace.plans import eventtime, relational, scalars  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES, Query
 
 
