@@ -20,28 +20,31 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import small_batches
 
-#: Pre-tokens that a task remembers; beyond it the table starts anew, and results stay the same.
-TABLE_SIZE = 400_000
+#: Pre-tokens in each of the two generations that a task remembers; when the young one is full it replaces the old one.
+TABLE_SIZE = 160_000
 #: Characters of text that a task works on at once, beyond the one text that reaches it.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
+#: Pre-tokens that one query contracts.
+SLICE = 15_000
 #: Longer pre-tokens (bytes) are contracted one step at a time in tables that replace each other, as a
 #: recursive query keeps the rows of all its steps.
 LONG = 96
-MEMORY = "250MB"
+MEMORY = "150MB"
 
+# A row's place g is word * 2**20 + position; a merge's key is rank * 2**40 + position * 2**20 + the position that it takes in,
+# so that one least key names a word's next step.
 CONTRACT = """
 WITH RECURSIVE step AS (
-  SELECT w, pos, id, false AS done FROM first
+  SELECT CAST(w AS BIGINT) * 1048576 + pos AS g, CAST(id AS BIGINT) AS id, false AS done FROM first
   UNION ALL
   (WITH pair AS MATERIALIZED (
-     SELECT s.w, s.pos, s.id, s.npos, m.id AS rank, CAST(m.id AS BIGINT) * 1048576 + s.pos AS key
-     FROM (SELECT w, pos, id, lead(id) OVER o AS after, lead(pos) OVER o AS npos
-           FROM step WHERE NOT done WINDOW o AS (PARTITION BY w ORDER BY pos)) s
-     LEFT JOIN merges m ON m.l = s.id AND m.r = s.after),
-   best AS (SELECT w, min(key) AS k, arg_min(npos, key) AS gone FROM pair GROUP BY w)
-   SELECT p.w, p.pos, CASE WHEN p.key = b.k THEN p.rank ELSE p.id END, b.k IS NULL
-   FROM pair p JOIN best b USING (w) WHERE b.gone IS NULL OR p.pos <> b.gone))
-SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY w ORDER BY w
+     SELECT s.g, s.id, m.id * 1099511627776 + (s.g & 1048575) * 1048576 + (s.ng & 1048575) AS key
+     FROM (SELECT g, id, lead(id) OVER o AS after, lead(g) OVER o AS ng FROM step WHERE NOT done WINDOW o AS (ORDER BY g)) s
+     LEFT JOIN merges m ON m.l = s.id AND m.r = CASE WHEN s.ng >> 20 = s.g >> 20 THEN s.after END),
+   best AS (SELECT g >> 20 AS w, min(key) AS k FROM pair GROUP BY w)
+   SELECT p.g, CASE WHEN p.key = b.k THEN b.k >> 40 ELSE p.id END, b.k IS NULL
+   FROM pair p JOIN best b ON b.w = p.g >> 20 WHERE b.k IS NULL OR p.g & 1048575 <> (b.k & 1048575)))
+SELECT g >> 20 AS w, id FROM step WHERE done ORDER BY g
 """
 # One step for long words. Where no merge of a token ranks below the token itself, all its non-overlapping
 # occurrences are contracted at once, from the left: the result is that of one after the other.
@@ -80,10 +83,11 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{folder}/duckdb-{os.getpid()}"})
         merges = [(left, right, k) for b, k in self.ranks.items() for cut in range(1, len(b)) if (left := self.ranks.get(b[:cut])) is not None and (right := self.ranks.get(b[cut:])) is not None]
         early = {t for left, right, k in merges for t in (left, right) if k < t}
-        columns = [pa.array(c, pa.int32()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int32())] * 3
+        columns = [pa.array(c, pa.int64()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int64())] * 3
         self._table("merges", l=columns[0], r=columns[1], id=columns[2], safe=pa.array([k not in early for _, _, k in merges], pa.bool_()))
         self._table("vocab", id=pa.array(list(self.ranks.values()), pa.int32()), b=pa.array([x.decode("latin-1") for x in self.ranks]))  # a character for each byte: text can be aggregated
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("_given", pa.table(columns))
@@ -99,7 +103,9 @@ class Codec:
         if not raw:
             return []
         self.db.register("first", pa.table(self._rows(raw)))
-        return [np.array(ids, "<u4").tobytes() for _, ids in self.db.execute(CONTRACT).fetchall()]
+        rows = self.db.execute(CONTRACT).fetchnumpy()
+        ids, ends = np.asarray(rows["id"]).astype("<u4").tobytes(), np.cumsum(np.bincount(np.asarray(rows["w"]), minlength=len(raw))) * 4
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _contract_long(self, raw: bytes) -> bytes:
         self._table("state", **self._rows([raw]))
@@ -114,9 +120,12 @@ class Codec:
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > TABLE_SIZE:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         short: list[tuple[str, bytes]] = []
         for p in pieces:
+            if (ids := self.before.get(p)) is not None:
+                self.known[p] = ids
+                continue
             raw = p.encode()
             if (k := self.ranks.get(raw)) is not None:
                 self.known[p] = k.to_bytes(4, "little")
@@ -124,7 +133,9 @@ class Codec:
                 self.known[p] = self._contract_long(raw)
             else:
                 short.append((p, raw))
-        self.known.update(zip((p for p, _ in short), self._contract([r for _, r in short]), strict=True))
+        for k in range(0, len(short), SLICE):
+            part = short[k : k + SLICE]
+            self.known.update(zip((p for p, _ in part), self._contract([r for _, r in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -132,10 +143,8 @@ class Codec:
         pieces = set().union(*split)
         known = self.known
         if new := pieces.difference(known):
-            if len(known) + len(new) > TABLE_SIZE:
-                new = pieces
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            self._learn(pieces if len(known) + len(new) > TABLE_SIZE else new)
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids. An id that the vocabulary lacks is an error."""
