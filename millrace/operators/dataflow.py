@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.errors import Refused
 from millrace.operators import cep, joins, keyed, setops, windows
 from millrace.operators.keyed import Row
+from millrace.storage import stored
 
 
 class Stream:
@@ -83,13 +83,11 @@ class Stream:
     def iterate(self, step: Callable[[DataFrame], DataFrame], again: Column, most_rounds: int) -> Stream:
         """Feed rows for which `again` holds back through the step, at most most_rounds times; others leave.
 
-        Each round's open rows are checkpointed, so the plan doesn't grow and no round runs twice.
+        Each round's rows are stored in the shared folder, so the plan doesn't grow and no round runs twice.
         """
-        spark = self.df.sparkSession
         left, open_rows = [], self.df
         for _ in range(most_rounds):
-            done = step(open_rows)
-            done = _stored(spark, done)
+            done = stored(step(open_rows), "iterate")
             left.append(done.filter(~F.coalesce(again, F.lit(False))))
             open_rows = done.filter(again)
             if not open_rows.limit(1).count():
@@ -118,16 +116,6 @@ class Stream:
         return Stream(joins.interval(self.df, other.df, "l", "r", on, *ts, lower_ms, upper_ms, kind))
 
 
-def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a written table where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    import tempfile
-
-    df.write.parquet(path := f"file://{tempfile.mkdtemp(prefix='millrace-')}/{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class KeyedStream:
     def __init__(self, df: DataFrame, keys: list[str]):
         self.df, self.keys = df, keys
