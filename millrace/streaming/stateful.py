@@ -196,7 +196,12 @@ class Deadline(Process):
 
 
 class PaneInfo(Process):
-    """Tumbling windows with early, on-time and late panes: a pane for every row once a window has fired, and one when it ends."""
+    """Tumbling windows with on-time and late panes: one when a window ends, and one for every row after that.
+
+    The stream's watermark has to trail by lateness_ms (`with_event_time(..., allowed_lateness_ms)`):
+    Spark drops rows below the watermark before a program sees them, so a window ends here when
+    the watermark is that much short of its end, and goes when the watermark reaches it.
+    """
 
     def __init__(self, key: str, ts: str, size_ms: int, lateness_ms: int = 0):
         self.key, self.ts, self.size_ms, self.lateness_ms = key, ts, size_ms, lateness_ms
@@ -206,30 +211,26 @@ class PaneInfo(Process):
     def _pane(self, start: int, timing: str) -> Row:
         w = self.windows[start]
         w[1] += 1
-        return {self.key: self.value, "window_start": start, "n": w[0], "timing": timing, "pane": w[1] - 1, TAG: None}
+        return {self.key: self.value, "window_start": start, "n": w[0], "timing": timing, "pane": w[1] - 1}
 
     def row(self, row: Row) -> Iterable[Row]:
         self.value = row[self.key]
-        at = int(row[self.ts].timestamp() * 1000)
-        start = at // self.size_ms * self.size_ms
-        end, now = start + self.size_ms, self.context.watermark_ms
-        if now >= end + self.lateness_ms and start not in self.windows:
-            yield {self.key: self.value, "window_start": start, "n": 1, "timing": "Dropped", "pane": 0, TAG: "late"}
-            return
+        start = int(row[self.ts].timestamp() * 1000) // self.size_ms * self.size_ms
         if start not in self.windows:
             self.windows[start] = [0, 0, False]
-            self.context.timer(end)
+            self.context.timer(start + self.size_ms - self.lateness_ms)
         self.windows[start][0] += 1
         if self.windows[start][2]:
             yield self._pane(start, "Late")
 
     def timer(self, at_ms: int) -> Iterable[Row]:
         for start in sorted(self.windows):
-            if start + self.size_ms == at_ms and not self.windows[start][2]:
+            end = start + self.size_ms
+            if at_ms == end - self.lateness_ms and not self.windows[start][2]:
                 yield self._pane(start, "OnTime")
                 self.windows[start][2] = True
-                self.context.timer(at_ms + self.lateness_ms + 1)
-            elif start + self.size_ms + self.lateness_ms < at_ms:
+                self.context.timer(end + 1)
+            elif at_ms > end:
                 del self.windows[start]
 
     def done(self) -> bool:
