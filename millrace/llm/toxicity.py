@@ -124,11 +124,12 @@ def score(df: DataFrame, key: str, text: str, model: Model, threshold: float = 0
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # MOST_SLOTS * 8 bytes at most, whatever the input
 
+    @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = np.zeros(1 << HASH_BITS, np.float32)
         table[shared.value.slots] = shared.value.weights
         for p in parts:
             yield pd.Series(score_texts(p, table, shared.value.bias))
 
-    got = df.select(F.col(key), held_out(F.col(key)).alias("held_out"), F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text)).alias("score"))
+    got = df.select(F.col(key), held_out(F.col(key)).alias("held_out"), scored(F.col(text)).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
