@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -72,19 +73,25 @@ def register_aggregate(name: str, kind: str, f: Callable[..., object]) -> None:
     REGISTRY[name.lower()] = (f, kind)
 
 
-def user_aggregate(name: str, *columns: str) -> Column:
-    """The named aggregate for groupBy().agg(): Arrow batches, not single rows."""
+def aggregate_udf(name: str):
+    """The named aggregate as a function over columns, called with Arrow batches."""
     if name.lower() not in REGISTRY:
         raise Refused(f"unknown aggregate {name}")
     f, kind = REGISTRY[name.lower()]
 
-    def run(*series: pd.Series):
+    def run(*series):
         known = pd.concat(series, axis=1).dropna()
         return f(*[known.iloc[:, k] for k in range(known.shape[1])]) if len(known) else None
 
-    # The udf's kind is told from its hints, which a variable number of arguments can't carry.
-    run.__annotations__ = {"return": object}
-    return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)(*[F.col(c) for c in columns])
+    # The kind is given, as hints can't carry a variable number of arguments.
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)
+
+
+def user_aggregate(name: str, *columns: str) -> Column:
+    """The named aggregate of some columns, for groupBy().agg()."""
+    return aggregate_udf(name)(*[F.col(c) for c in columns])
 
 
 def fold(df: DataFrame, keys: list[str], zero: Column, item: Column, step: Callable[[Column, Column], Column], name: str, order: str) -> DataFrame:

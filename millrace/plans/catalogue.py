@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import eventtime, nexmark, relational, scalars, streams  # noqa: F401
+from millrace.plans import eventtime, nexmark, relational, scalars, scripts, streams  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES, Query
 
 

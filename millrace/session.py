@@ -44,6 +44,7 @@ class Engine:
         self.spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         self.table_functions: dict[str, tuple[Callable, str]] = {}
         self.statistics: dict[str, dict] = {}
+        self.streaming = False
         for signature, result, body in dialect.FUNCTIONS:
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {result} RETURN {body}")
 
@@ -227,6 +228,51 @@ class Engine:
         mode = table.options.get("mode", "append")
         return Result(sql, connectors.write(out.select(*columns), table, mode, table.options.get("delivery")), f"into {table.name}")
 
+    # Functions from Python
+
+    def register_function(self, name: str, function: Callable, kind: str) -> None:
+        """A scalar function over Arrow batches: pandas series to a series."""
+        self.spark.udf.register(name, F.pandas_udf(function, parse_type(kind)))
+
+    def register_aggregate(self, name: str, function: Callable, kind: str) -> None:
+        """An aggregate: pandas series of a group to a value. Rows with a NULL argument are left out."""
+        from millrace.functions import aggregates
+
+        aggregates.register_aggregate(name, parse_type(kind).simpleString(), function)
+        self.spark.udf.register(name, aggregates.aggregate_udf(name))
+
+    def lineage(self, sql: str) -> dict[str, set[str]]:
+        from millrace.lineage import lineage
+
+        return lineage(self._select(sql))
+
+    # Streams
+
+    def stream(self, sql: str, checkpoint: str | None = None):
+        """Run an INSERT as a stream over what is available now; a query handle.
+
+        Tables with `unbounded` = 'true' are read as streams, with the watermark of their
+        `event_time_column` and `watermark_lag_ms`. State that only grows is refused, unless the
+        sink has a `state_ttl` or the statement ends with ALLOW UNBOUNDED STATE.
+        """
+        from millrace.streaming import runtime
+
+        m = re.match(r"INSERT\s+INTO\s+(\w+)\s*(?=SELECT|WITH|\()", sql, re.I)
+        if not m:
+            raise Refused("a stream is an INSERT INTO ... SELECT")
+        table, body = self.catalog.get("table", m[1]), sql[m.end() :]
+        if not re.search(r"\bALLOW\s+UNBOUNDED\s+STATE\s*$", body, re.I) and "state_ttl" not in table.options and (why := dialect.unbounded_state(body)):
+            raise Refused(f"{why} keeps state for ever; give the sink a state_ttl or end with ALLOW UNBOUNDED STATE")
+        self.streaming = True
+        try:
+            rows = self._select(body)
+        finally:
+            self.streaming = False
+        names = [n for n, _ in table.columns]
+        keeps = bool(re.search(r"\bGROUP\s+BY\b", dialect.Held(body).text, re.I))
+        mode = table.options.get("output", "update" if keeps and table.primary_key else "append")
+        return runtime.start(rows.toDF(*names), lambda batch, number: connectors.write(batch, table, table.options.get("mode", "append")), mode, checkpoint)
+
     # Queries
 
     def _table(self, name: str) -> DataFrame:
@@ -235,7 +281,13 @@ class Engine:
                 return self.spark.read.parquet(view.options["path"])
             out = self._select(view.sql)
             return out.toDF(*view.columns) if view.columns else out
-        return connectors.read(self.spark, self.catalog.get("table", name))
+        table = self.catalog.get("table", name)
+        live = self.streaming and table.options.get("unbounded", "").lower() == "true"
+        rows = connectors.read(self.spark, table, live)
+        if live and (ts := table.options.get("event_time_column")):
+            lag = int(table.options.get("watermark_lag_ms", "0"))
+            rows = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{lag} milliseconds")
+        return rows
 
     def _select(self, sql: str) -> DataFrame:
         sql = re.sub(r"\bALLOW\s+UNBOUNDED\s+STATE\s*$", "", sql.strip(), flags=re.I)

@@ -207,3 +207,39 @@ def test_registered_client(spark):
     connectors.register_client("redis", "read", lambda o: [('{"a": 5}',)])
     t = Table("t", [("a", "BIGINT")], {"connector": "redis"})
     assert connectors.read(spark, t).first()[0] == 5
+
+
+def test_python_functions(engine):
+    engine.register_function("twice", lambda s: s * 2, "BIGINT")
+    engine.register_aggregate("spread", lambda v: float(v.max() - v.min()), "DOUBLE")
+    assert rows(engine, "SELECT max(twice(event_id)) FROM ev")[0][0] == 2 * rows(engine, "SELECT max(event_id) FROM ev")[0][0]
+    assert rows(engine, "SELECT spread(value) FROM ev")[0][0] == pytest.approx(rows(engine, "SELECT max(value) - min(value) FROM ev")[0][0])
+
+
+def test_lineage(engine):
+    got = engine.lineage("SELECT event_type, sum(value) AS s, count(*) AS n FROM (SELECT event_type, value * event_id AS value FROM ev) x GROUP BY event_type")
+    assert got == {"event_type": {"ev.event_type"}, "s": {"ev.value", "ev.event_id"}, "n": set()}
+
+
+@pytest.mark.parametrize("sql", ["SELECT user_id, count(*) FROM live GROUP BY user_id", "SELECT DISTINCT user_id, user_id FROM live", "SELECT a.user_id, a.user_id FROM live a JOIN live b ON a.user_id = b.user_id"])
+def test_unbounded_state_is_refused(engine, tmp_path, sf_dir, sql):
+    engine.run_script(f"CREATE TABLE live (user_id BIGINT) WITH (connector='parquet', path='{sf_dir}/events.parquet', unbounded='true'); CREATE TABLE sink (a BIGINT, n BIGINT) WITH (connector='parquet', path='{tmp_path}/o')")
+    with pytest.raises(Refused):
+        engine.stream(f"INSERT INTO sink {sql}")
+
+
+def test_streams_and_their_state(engine, tmp_path, sf_dir):
+    from millrace.streaming.state import export_state, read_state, state_diff
+
+    engine.run_script(f"CREATE TABLE live (user_id BIGINT, ts TIMESTAMP) WITH (connector='parquet', path='{sf_dir}/events.parquet', unbounded='true', event_time_column='ts'); CREATE TABLE sink (user_id BIGINT PRIMARY KEY, n BIGINT) WITH (connector='parquet', mode='upsert', path='{tmp_path}/o')")
+    q = engine.stream("INSERT INTO sink SELECT user_id, count(*) FROM live GROUP BY user_id ALLOW UNBOUNDED STATE", f"{tmp_path}/c")
+    q.awaitTermination()
+    assert q.exception() is None
+    from millrace.streaming.runtime import current
+
+    got = sorted(map(tuple, current(engine.spark, f"{tmp_path}/o").collect()))
+    assert got == sorted(rows(engine, "SELECT user_id, count(*) FROM ev GROUP BY user_id"))
+    state = read_state(engine.spark, f"{tmp_path}/c")
+    assert state.count() == len(got) and state_diff(state.limit(0), state).count() == len(got)
+    export_state(engine.spark, f"{tmp_path}/c", f"{tmp_path}/p")
+    assert engine.spark.read.parquet(f"{tmp_path}/p").count() == len(got)
