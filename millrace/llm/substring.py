@@ -6,7 +6,8 @@ the others are collapsed where they are equal; distinct passages go to shards by
 shard an FM-index over the shard's passages gives their matching statistics by backward search:
 where each window first stands. Equal passages after the first repeat it whole.
 
-Nothing is compared pair by pair. An anchor with very many distinct passages is settled window by
+Joins are left to Spark: a side is broadcast only below its size threshold, so plans are alike at
+every size. Nothing is compared pair by pair. An anchor with very many distinct passages is settled window by
 window with a combining aggregate, exactly and without gathering it in one task.
 """
 
@@ -30,8 +31,6 @@ REACH = WINDOW - GRAM + 1
 MOST_PASSAGES = 1_000
 #: Passages in a shard, in expectation (about 30 words each).
 SHARD_PASSAGES = 10_000
-#: Rows that may be broadcast: single longs, and short lists.
-BROADCAST_KEYS, BROADCAST_LISTS = 2_000_000, 50_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 FIRST_ID = -(1 << 63)
 
@@ -112,10 +111,6 @@ def _runs(rows: DataFrame, only_anchor: bool) -> DataFrame:
     return long_ones.mapInArrow(run, "anchor long" if only_anchor else f"{DOC}, s0 int, s1 int, anchor long, passage long")
 
 
-def _if_small(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def _freed(df: DataFrame, name: str) -> DataFrame:
     """Store a table and let the shuffle files behind it go."""
     out = store(df, name)
@@ -126,8 +121,8 @@ def _freed(df: DataFrame, name: str) -> DataFrame:
 
 def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The word hashes of the wanted passages (bytes), with the columns of wanted."""
-    lists = _freed(wanted.groupBy("_id", "_th").agg(F.collect_list(F.struct("s0", "s1", "anchor", "passage", "hot")).alias("_a")), "substring-wanted")
-    found = rows.join(_if_small(lists, BROADCAST_LISTS), ["_id", "_th"])
+    lists = _freed(wanted.groupBy("_id", "_th").agg(F.collect_list(F.struct("s0", "s1", "anchor", "passage")).alias("_a")), "substring-wanted")
+    found = rows.join(lists, ["_id", "_th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,17 +131,17 @@ def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = asked.offsets.to_numpy()
             text = np.repeat(np.arange(len(asked)), np.diff(ends))
             values = asked.values.slice(0, int(ends[-1]))
-            cols = {n: values.field(n).to_numpy(zero_copy_only=False) for n in ("s0", "s1", "anchor", "passage", "hot")}
+            cols = {n: values.field(n).to_numpy(zero_copy_only=False) for n in ("s0", "s1", "anchor", "passage")}
             a = offsets[text] + cols["s0"]
             z = offsets[text] + cols["s1"] + WINDOW
             raw = h.tobytes()
             ids, th = (b.column(k).to_numpy(zero_copy_only=False)[text] for k in (0, 1))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(th, pa.int64()), pa.array(cols["s0"], pa.int32()), pa.array(cols["anchor"], pa.int64()), pa.array(cols["passage"], pa.int64()), pa.array(cols["hot"].astype(bool), pa.bool_()), pa.array([raw[8 * i : 8 * j] for i, j in zip(a.tolist(), z.tolist(), strict=True)], pa.binary())],
-                names=["_id", "_th", "s0", "anchor", "passage", "hot", "w"],
+                [pa.array(ids, pa.int64()), pa.array(th, pa.int64()), pa.array(cols["s0"], pa.int32()), pa.array(cols["anchor"], pa.int64()), pa.array(cols["passage"], pa.int64()), pa.array([raw[8 * i : 8 * j] for i, j in zip(a.tolist(), z.tolist(), strict=True)], pa.binary())],
+                names=["_id", "_th", "s0", "anchor", "passage", "w"],
             )
 
-    return found.select("_id", "_th", _word_hashes(), "_a").mapInArrow(run, f"{DOC}, s0 int, anchor long, passage long, hot boolean, w binary").dropDuplicates(["anchor", "passage"])
+    return found.select("_id", "_th", _word_hashes(), "_a").mapInArrow(run, f"{DOC}, s0 int, anchor long, passage long, w binary")
 
 
 def _masks_by_index(passages: DataFrame, shards: int) -> DataFrame:
@@ -157,6 +152,9 @@ def _masks_by_index(passages: DataFrame, shards: int) -> DataFrame:
         rows = pa.Table.from_batches(got) if got else None
         if rows is None or not rows.num_rows:
             return
+        # Rows of documents that are equal in id and text give a passage several times.
+        names = list(zip(rows.column("anchor").to_pylist(), rows.column("passage").to_pylist(), strict=True))
+        rows = rows.take(list({n: k for k, n in enumerate(names)}.values()))
         rows = rows.sort_by([("_id", "ascending"), ("_th", "ascending"), ("s0", "ascending")])
         index = FMIndex([np.frombuffer(x, np.int64) for x in rows.column("w").to_pylist()], WINDOW)
         masks = []
@@ -165,7 +163,7 @@ def _masks_by_index(passages: DataFrame, shards: int) -> DataFrame:
             masks.append(int((earlier << np.arange(len(first))).sum()))
         yield pa.record_batch([rows.column("anchor").combine_chunks(), rows.column("passage").combine_chunks(), pa.array(masks, pa.int32())], names=["anchor", "passage", "mask"])
 
-    return passages.select("_id", "_th", "s0", "anchor", "passage", "w").repartition(shards, "anchor").mapInArrow(run, "anchor long, passage long, mask int")
+    return passages.repartition(shards, "anchor").mapInArrow(run, "anchor long, passage long, mask int")
 
 
 def _masks_by_window(passages: DataFrame) -> DataFrame:
@@ -182,7 +180,7 @@ def _masks_by_window(passages: DataFrame) -> DataFrame:
                         c.append(x)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["_id", "_th", "s", "anchor", "passage", "j", "v"])
 
-    each = store(passages.select("_id", "_th", "s0", "anchor", "passage", "w").mapInArrow(run, f"{DOC}, s int, anchor long, passage long, j int, v long"), "substring-windows")
+    each = store(passages.dropDuplicates(["anchor", "passage"]).select("_id", "_th", "s0", "anchor", "passage", "w").mapInArrow(run, f"{DOC}, s int, anchor long, passage long, j int, v long"), "substring-windows")
     first = each.groupBy("v").agg(F.min(F.struct("_id", "_th", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("v", "f")
     late = each.join(first, "v").filter(F.struct("_id", "_th", "s") > F.col("f"))
     return late.groupBy("anchor", "passage").agg(F.sum(F.expr("shiftleft(1, j)")).cast("int").alias("mask"))
@@ -198,18 +196,17 @@ def repeated(rows: DataFrame) -> DataFrame:
     """(_id, _th, intervals): for each text with repeats its (s0, mask) runs of repeated windows."""
     small_batches(rows.sparkSession)
     twice = _freed(_runs(rows, True).groupBy("anchor").count().filter("count > 1").select("anchor"), "substring-anchors")
-    runs = _freed(_runs(rows, False).join(_if_small(twice, BROADCAST_KEYS), "anchor"), "substring-runs")
+    runs = _freed(_runs(rows, False).join(twice, "anchor"), "substring-runs")
     # Rows that are equal in id and text are one document here; what repeats is judged once for them.
     each = runs.groupBy("anchor", "passage").agg(F.min(F.struct("_id", "_th", "s0", "s1")).alias("f"))
     each = _freed(each, "substring-passages")
     crowded = each.groupBy("anchor").count().filter(F.col("count") > MOST_PASSAGES).select("anchor", F.lit(True).alias("crowded"))
     crowded = store(crowded, "substring-crowded")
-    marked = each.join(_if_small(crowded, BROADCAST_KEYS // 4), "anchor", "left").select("f._id", "f._th", "f.s0", "f.s1", "anchor", "passage", F.coalesce("crowded", F.lit(False)).alias("hot"))
+    marked = each.join(crowded, "anchor", "left").select("f._id", "f._th", "f.s0", "f.s1", "anchor", "passage", F.coalesce("crowded", F.lit(False)).alias("hot"))
     n = each.count()
-    texts = _freed(_passages(rows, marked), "substring-texts")
-    masks = _masks_by_index(texts.filter(~F.col("hot")), max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // SHARD_PASSAGES)))
+    masks = _masks_by_index(_passages(rows, marked.filter(~F.col("hot"))), max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // SHARD_PASSAGES)))
     if crowded.limit(1).count():
-        masks = masks.unionByName(_masks_by_window(texts.filter("hot")))
+        masks = masks.unionByName(_masks_by_window(_passages(rows, marked.filter("hot"))))
     masks = masks.filter("mask != 0")
     whole = F.expr("shiftleft(1, s1 - s0 + 1) - 1")
     first = each.select("anchor", "passage", F.col("f._id").alias("i"), F.col("f._th").alias("t"), F.col("f.s0").alias("z")).join(masks, ["anchor", "passage"], "left")
@@ -231,7 +228,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = _freed(repeated(rows), "substring-repeats")
     names = docs.columns
     base = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID).cast("long")), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = base.join(_if_small(found, BROADCAST_LISTS), ["_id", "_th"], "left").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"), "_a")
+    joined = base.join(found, ["_id", "_th"], "left").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"), "_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
