@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary shortens a text most.
 
-Each language has a raw-content zstandard dictionary made of learned texts. A text is cut into
-blocks; every block is compressed with every dictionary, and the language with the fewest bytes
+Each language has a raw-content zstandard dictionary made of learned texts, in lower case as all
+texts are here. A text is cut into blocks; every block is compressed with every dictionary, and the language with the fewest bytes
 wins. Cutting keeps the dictionary in reach of the compressor over all of a long text.
 """
 
@@ -18,12 +18,12 @@ from millrace.llm.common import held_out, small_batches
 
 #: Bytes of learned text in a language's dictionary, and the most that one document gives to it: the fit is on a
 #: bounded sample of labelled rows, whatever the size of the corpus.
-DICTIONARY_BYTES, FROM_ONE = 96_000, 6_000
+DICTIONARY_BYTES, FROM_ONE = 96_000, 2_000
 #: Documents drawn for each language before the dictionary is filled, in expectation.
-DRAWN = 64
+DRAWN = 96
 #: Languages that a table may have; dictionaries of all are broadcast.
 MAX_LANGUAGES = 400
-BLOCK, LEVEL = 8_192, 3
+BLOCK, LEVEL = 4_096, 6
 #: A decision is rejected if the second best language needs less than this share more bytes.
 NARROW = 0.005
 UNKNOWN = "und"
@@ -39,7 +39,7 @@ def learn_dictionaries(df: DataFrame, key: str, text: str, lang: str) -> dict[st
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, DRAWN / n))])
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    rows = seen.filter(draw < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), draw.alias("draw"), F.encode(F.substring(text, 1, FROM_ONE), "utf-8").alias("text")).collect()
+    rows = seen.filter(draw < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), draw.alias("draw"), F.encode(F.lower(F.substring(text, 1, FROM_ONE)), "utf-8").alias("text")).collect()
     parts: dict[str, bytearray] = defaultdict(bytearray)
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         own = parts[r["lang"]]
@@ -76,7 +76,7 @@ def identify(df: DataFrame, key: str, text: str, dictionaries: dict[str, bytes],
                 if not t or not coders or not letter(t):
                     names.append(UNKNOWN), scores.append(0.0), narrow_ones.append(True)
                     continue
-                raw = t.encode()
+                raw = t.lower().encode()
                 blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
                 sizes = sorted((sum(len(c.compress(x)) for x in blocks), name) for name, c in coders)
                 margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0] if len(sizes) > 1 else 1.0
