@@ -28,8 +28,8 @@ LEAST_REVISIT = 1000
 START = datetime(2024, 1, 1, tzinfo=UTC)
 #: Revisit rows that may be broadcast (two longs each); beyond it the decision is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Records in one archive file, at most: the reader holds one file.
-FILE_RECORDS = 4_000
+#: Bytes of payload in one archive file, in expectation: the reader holds one file.
+FILE_BYTES = 16 << 20
 #: Index entries of a run that a merging task holds in memory before it spools the run to its own disk.
 RUN_ROWS = 20_000
 
@@ -53,10 +53,11 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     Rows with a null id are written as responses and their id is read back as null; rows that
     share an id are judged by it.
     """
-    spark = pages.sparkSession
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key), F.col(url).alias("_u"), body.alias("_b"), F.sha1(body.cast("binary")).alias("_d"), F.octet_length(body).cast("long").alias("_n"))
-    found = store(_revisits(rows.select(key, "_d", "_n"), key, least), "warc-revisits")
+    digests = store(rows.select(key, "_d", "_n"), "warc-digests")
+    mean = digests.agg(F.avg("_n")).first()[0] or 1.0
+    found = store(_revisits(digests, key, least), "warc-revisits")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     rows = rows.join(found, rows[key] == found["_p"], "left")
@@ -79,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit("\r\n"),
         F.when(seen, "").otherwise(F.col("_b")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 500)))).text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
