@@ -55,6 +55,16 @@ def _ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.unique(high.astype(np.int64) * (int(low.max(initial=0)) + 1) + low, return_inverse=True)[1].astype(np.int32)
 
 
+def _pieces(depth: int) -> list[tuple[int, int]]:
+    """(length, start) of runs of 8, 4, 2 and 1 words that make up a depth."""
+    out, at = [], 0
+    for k in (8, 4, 2, 1):
+        while depth - at >= k:
+            out.append((k, at))
+            at += k
+    return out
+
+
 def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
@@ -62,12 +72,12 @@ def _ahead(x: np.ndarray, k: int) -> np.ndarray:
 class FMIndex:
     """Index of passages, each a row of word codes, in the given order; a separator follows each.
 
-    Suffixes are sorted to 32 words, enough for patterns of `width` <= 32 words. For patterns of
+    Suffixes are sorted to `width` words, enough for patterns up to that length. For patterns of
     that width it also keeps the first place in the text where each occurs.
     """
 
     def __init__(self, passages: list[np.ndarray], width: int):
-        assert 3 <= width <= 32
+        assert width >= 2
         self.width = width
         lengths = np.array([len(p) for p in passages], np.int64)
         codes = np.concatenate(passages) if passages else np.zeros(0, np.int64)
@@ -78,11 +88,9 @@ class FMIndex:
         text[place] = coded + 1
         self.text, self.lengths = text, lengths
         ranks = {1: text}
-        k = 1
-        while k < 32:
+        for k in (1, 2, 4):
             ranks[2 * k] = _ranked(ranks[k], _ahead(ranks[k], k))
-            k *= 2
-        order = np.argsort(ranks[32], kind="stable").astype(np.int32)
+        order = np.argsort(self._key(ranks), kind="stable").astype(np.int32)
         self.before = WaveletTree(np.roll(text, 1)[order], len(self.alphabet) + 1)
         self.first_row = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))[:-1]]).astype(np.int32)
         # Rows whose suffixes share one word less than a pattern: where a match goes when its last word is dropped.
@@ -91,42 +99,56 @@ class FMIndex:
         starts = np.flatnonzero(low == np.arange(len(low)))
         self.earliest = np.minimum.reduceat(order, starts)[np.cumsum(low == np.arange(len(low))) - 1] if len(order) else order
 
+    def _key(self, ranks: dict[int, np.ndarray]) -> np.ndarray:
+        """A number for each suffix in the order of its first `width` words. Ranks are packed as long as they fit."""
+        key, room = np.zeros(len(ranks[1]), np.int64), 0
+        for k, at in _pieces(self.width):
+            bits = int(ranks[k].max(initial=0) + 1).bit_length()
+            if room + bits > 62:
+                key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+                room = int(key.max(initial=0) + 1).bit_length()
+            key = (key << bits) | _ahead(ranks[k], at)
+            room += bits
+        return key
+
     @staticmethod
     def _groups(order: np.ndarray, ranks: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row the first row, and the one after the last, whose suffixes agree in `depth` words."""
         n = len(order)
-        new, at = np.zeros(n, bool), 0
+        new = np.zeros(n, bool)
         new[:1] = True
-        for k in (32, 16, 8, 4, 2, 1):
-            if depth & k:
-                r = _ahead(ranks[k], at)[order]
-                new[1:] |= r[1:] != r[:-1]
-                at += k
+        for k, at in _pieces(depth):
+            r = _ahead(ranks[k], at)[order]
+            new[1:] |= r[1:] != r[:-1]
         starts = np.flatnonzero(new).astype(np.int32)
         group = np.cumsum(new) - 1
         return starts[group], np.append(starts[1:], n).astype(np.int32)[group]
 
     def repeats(self) -> list[np.ndarray]:
+        """What `first_places` gives, cut into passages."""
+        flat, offset = self.first_places()
+        return [flat[a:b] for a, b in zip(offset[:-1], offset[1:], strict=True)]
+
+    def first_places(self) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of every indexed passage against all of them.
 
-        For each passage, for each of its windows of `width` words: the place in the text where
-        those words first stand. Passages are searched from the right, all at once: each step
+        For each passage, for each of its windows of `width` words, one after the other: the place
+        in the text where those words first stand; and where each passage's windows begin. Passages are searched from the right, all at once: each step
         extends the match by the next word on the left; a match that reaches the width is reported
         and gives up its last word.
         """
         n = len(self.lengths)
-        found = [np.zeros(max(0, int(x) - self.width + 1), np.int32) for x in self.lengths]
+        offset = np.concatenate([[0], np.cumsum(np.maximum(0, self.lengths - self.width + 1))])
         low, high = np.zeros(n, np.int32), np.full(n, len(self.text), np.int32)
-        flat = np.zeros(int(sum(map(len, found))), np.int32)
-        offset = np.cumsum([0, *map(len, found)])
+        flat = np.zeros(int(offset[-1]), np.int32)
         for t in range(int(self.lengths.max(initial=0))):
             on = np.flatnonzero(self.lengths > t)
             where = self.begin[on] + self.lengths[on] - 1 - t
             symbol = self.text[where]
-            low[on] = self.first_row[symbol] + self.before.rank(symbol, low[on])
-            high[on] = self.first_row[symbol] + self.before.rank(symbol, high[on])
+            both = self.before.rank(np.concatenate([symbol, symbol]), np.concatenate([low[on], high[on]]))
+            low[on], high[on] = self.first_row[symbol] + both[: len(on)], self.first_row[symbol] + both[len(on) :]
             if t >= self.width - 1:
                 flat[offset[on] + where - self.begin[on]] = self.earliest[low[on]]
                 high[on] = self.high[low[on]]
                 low[on] = self.low[low[on]]
-        return [flat[a:b] for a, b in zip(offset[:-1], offset[1:], strict=True)]
+        return flat, offset

@@ -157,10 +157,11 @@ def _masks_by_index(passages: DataFrame, shards: int) -> DataFrame:
         rows = rows.take(list({n: k for k, n in enumerate(names)}.values()))
         rows = rows.sort_by([("_id", "ascending"), ("_th", "ascending"), ("s0", "ascending")])
         index = FMIndex([np.frombuffer(x, np.int64) for x in rows.column("w").to_pylist()], WINDOW)
-        masks = []
-        for begin, first in zip(index.begin, index.repeats(), strict=True):
-            earlier = first < begin + np.arange(len(first))
-            masks.append(int((earlier << np.arange(len(first))).sum()))
+        first, offset = index.first_places()
+        n = np.diff(offset)
+        j = np.arange(len(first)) - np.repeat(offset[:-1], n)
+        earlier = (first < np.repeat(index.begin, n) + j).astype(np.int32) << j.astype(np.int32)
+        masks = np.add.reduceat(earlier, offset[:-1])  # every passage has a window
         yield pa.record_batch([rows.column("anchor").combine_chunks(), rows.column("passage").combine_chunks(), pa.array(masks, pa.int32())], names=["anchor", "passage", "mask"])
 
     return passages.repartition(shards, "anchor").mapInArrow(run, "anchor long, passage long, mask int")
