@@ -10,6 +10,9 @@ vocabulary and aggregates the pieces in order. Nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -21,30 +24,30 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import small_batches
 
 #: Pre-tokens in each of the two generations that a task remembers; when the young one is full it replaces the old one.
-TABLE_SIZE = 160_000
+TABLE_SIZE = 130_000
 #: Characters of text that a task works on at once, beyond the one text that reaches it.
-CHUNK = 1_500_000
+CHUNK = 2_500_000
 #: Pre-tokens that one query contracts.
-SLICE = 15_000
+SLICE = 60_000
 #: Longer pre-tokens (bytes) are contracted one step at a time in tables that replace each other, as a
 #: recursive query keeps the rows of all its steps.
 LONG = 96
 MEMORY = "150MB"
 
 # A row's place g is word * 2**20 + position; a merge's key is rank * 2**40 + position * 2**20 + the position that it takes in,
-# so that one least key names a word's next step.
+# so that one least key names a word's next step. The tokens of a word at its fixpoint are kept as -1 - id.
 CONTRACT = """
 WITH RECURSIVE step AS (
-  SELECT CAST(w AS BIGINT) * 1048576 + pos AS g, CAST(id AS BIGINT) AS id, false AS done FROM first
+  SELECT CAST(w AS BIGINT) * 1048576 + pos AS g, CAST(id AS BIGINT) AS id FROM first
   UNION ALL
   (WITH pair AS MATERIALIZED (
      SELECT s.g, s.id, m.id * 1099511627776 + (s.g & 1048575) * 1048576 + (s.ng & 1048575) AS key
-     FROM (SELECT g, id, lead(id) OVER o AS after, lead(g) OVER o AS ng FROM step WHERE NOT done WINDOW o AS (ORDER BY g)) s
+     FROM (SELECT g, id, lead(id) OVER o AS after, lead(g) OVER o AS ng FROM step WHERE id >= 0 WINDOW o AS (ORDER BY g)) s
      LEFT JOIN merges m ON m.l = s.id AND m.r = CASE WHEN s.ng >> 20 = s.g >> 20 THEN s.after END),
    best AS (SELECT g >> 20 AS w, min(key) AS k FROM pair GROUP BY w)
-   SELECT p.g, CASE WHEN p.key = b.k THEN b.k >> 40 ELSE p.id END, b.k IS NULL
+   SELECT p.g, CASE WHEN b.k IS NULL THEN -1 - p.id WHEN p.key = b.k THEN b.k >> 40 ELSE p.id END
    FROM pair p JOIN best b ON b.w = p.g >> 20 WHERE b.k IS NULL OR p.g & 1048575 <> (b.k & 1048575)))
-SELECT g >> 20 AS w, id FROM step WHERE done ORDER BY g
+SELECT g >> 20 AS w, -1 - id AS id FROM step WHERE id < 0 ORDER BY g
 """
 # One step for long words. Where no merge of a token ranks below the token itself, all its non-overlapping
 # occurrences are contracted at once, from the left: the result is that of one after the other.
@@ -62,7 +65,10 @@ SELECT p.w, p.pos, coalesce(c.rank, p.id) AS id
 FROM pair p LEFT JOIN chosen c ON c.w = p.w AND c.i = p.i LEFT JOIN chosen g ON g.w = p.w AND g.i = p.i - 1
 WHERE g.i IS NULL
 """
-DECODE = "SELECT d, string_agg(b, '' ORDER BY p) FROM ids JOIN vocab USING (id) GROUP BY d"
+# The aggregate takes its rows in the order of the sorted subquery, on the one thread that runs it; EXACT_DECODE sorts in the
+# aggregate itself, at three times the cost.
+DECODE = "SELECT d, string_agg(b, '') FROM (SELECT d, p, b FROM ids JOIN vocab USING (id) ORDER BY p) GROUP BY d"
+EXACT_DECODE = "SELECT d, string_agg(b, '' ORDER BY p) FROM ids JOIN vocab USING (id) GROUP BY d"
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -146,14 +152,22 @@ class Codec:
             self._learn(pieces if len(known) + len(new) > TABLE_SIZE else new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
+    def close(self) -> None:
+        """Let the memory go, back to the system where that can be asked for."""
+        self.db.close()
+        self.known.clear(), self.before.clear(), self.ranks.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def decode(self, ids: list[bytes], query: str = EXACT_DECODE) -> list[bytes]:
         """The bytes of each row of ids. An id that the vocabulary lacks is an error."""
         flat = np.frombuffer(b"".join(ids), "<u4")
         if len(flat) and flat.max() >= len(self.ranks):
             raise ValueError(f"id {flat.max()} is not in the vocabulary")
         n = [len(x) // 4 for x in ids]
         self.db.register("ids", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), n), "p": np.arange(len(flat), dtype=np.int32), "id": flat.astype(np.int32)}))
-        found = dict(self.db.execute(DECODE).fetchall())
+        found = dict(self.db.execute(query).fetchall())
         return [found[k].encode("latin-1") if k in found else b"" for k in range(len(ids))]
 
 
@@ -180,14 +194,16 @@ def round_trip(df: DataFrame, key: str, text: str, file: str, pattern: str, deco
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(file, pattern)
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(kind)
-        for keys, texts in _chunks(batches):
-            ids = codec.encode([t or "" for t in texts])
-            back = codec.decode(ids) if decode else [None] * len(ids)
-            yield pa.record_batch([pa.array(keys, arrow), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[key, "ids", "decoded"])
+        with contextlib.closing(Codec(file, pattern)) as codec:
+            for keys, texts in _chunks(batches):
+                ids = codec.encode([t or "" for t in texts])
+                back = codec.decode(ids, DECODE) if decode else [None] * len(ids)
+                if decode and back != [(t or "").encode() for t in texts]:
+                    back = codec.decode(ids)
+                yield pa.record_batch([pa.array(keys, arrow), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[key, "ids", "decoded"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids binary, decoded binary")
 
@@ -198,11 +214,11 @@ def decode(df: DataFrame, key: str, ids: str, file: str, pattern: str) -> DataFr
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(file, pattern)
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(kind)
-        for keys, rows in _chunks(batches):
-            yield pa.record_batch([pa.array(keys, arrow), pa.array(codec.decode([r or b"" for r in rows]), pa.binary())], names=[key, "decoded"])
+        with contextlib.closing(Codec(file, pattern)) as codec:
+            for keys, rows in _chunks(batches):
+                yield pa.record_batch([pa.array(keys, arrow), pa.array(codec.decode([r or b"" for r in rows]), pa.binary())], names=[key, "decoded"])
 
     return df.select(key, ids).mapInArrow(run, f"`{key}` {kind.simpleString()}, decoded binary")
