@@ -299,7 +299,12 @@ class Engine:
             self._table(name).createOrReplaceTempView(name)
         sql = dialect.islands(sql, {"match_recognize": self._match, "ml_predict": self._ml, "vector_search": self._vectors, "table_function": self._table_function})
         sql = dialect.functions(dialect.top_n(sql))
-        return self.spark.sql(dialect.windows(sql, lambda column: self._is_millis(used, column)))
+        out = self.spark.sql(dialect.windows(sql, lambda column: self._is_millis(used, column)))
+        if re.match(r"SELECT\s+\*\s+FROM\s+\w+[^()]*\bJOIN\b", dialect.Held(sql).text.strip(), re.I):
+            attributes = out._jdf.queryExecution().analyzed().output()
+            named = [attributes.apply(k) for k in range(attributes.size())]
+            out = out.toDF(*[f"{a.qualifier().last()}_{a.name()}" if a.qualifier().nonEmpty() else a.name() for a in named])
+        return out
 
     def _is_millis(self, names: set[str], column: str) -> bool:
         """Whether a column of the tables that a query names is a number: epoch milliseconds."""

@@ -243,3 +243,8 @@ def test_streams_and_their_state(engine, tmp_path, sf_dir):
     assert state.count() == len(got) and state_diff(state.limit(0), state).count() == len(got)
     export_state(engine.spark, f"{tmp_path}/c", f"{tmp_path}/p")
     assert engine.spark.read.parquet(f"{tmp_path}/p").count() == len(got)
+
+
+def test_joins_name_columns_by_alias(engine):
+    df = engine.query("SELECT * FROM ev a JOIN ev b ON a.event_id = b.event_id")
+    assert df.columns[:2] == ["a_event_id", "a_ts"] and "b_event_type" in df.columns
