@@ -89,21 +89,23 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on rows whose id is not held out.
 
     Null ids, labels and texts are not learned from; a repeated id counts as often as its rows. At
-    most about SAMPLE_ROWS rows of each class are drawn, by a hash of the id.
+    most about SAMPLE_ROWS rows of each class are drawn, by a hash of the id; where the classes are
+    drawn at different rates, the bias is set back to the odds before the draw.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull() & ~held_out(F.col("_k")))
     count = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     if not count:
         return fit([], np.zeros(0))
     draw = F.pmod(F.xxhash64(F.col("_k"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("_y") == 1, min(1.0, SAMPLE_ROWS / max(1, count.get(1, 0)))).otherwise(min(1.0, SAMPLE_ROWS / max(1, count.get(0, 0))))
+    clean, toxic = (min(1.0, SAMPLE_ROWS / max(1, count.get(y, 0))) for y in (0, 1))
+    share, prior = F.when(F.col("_y") == 1, toxic).otherwise(clean), float(np.log(toxic / clean))
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("_t is not null").join(F.broadcast(known.filter(draw < share)), "_k").select("_k", "_t", "_y")
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sorted((k, t, y) for b in batches for k, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
         m = fit([t for _, t, _ in seen], np.array([y for _, _, y in seen], float))
-        yield pa.record_batch([pa.array([m.slots.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], names=["s", "w", "b"])
+        yield pa.record_batch([pa.array([m.slots.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias - prior])], names=["s", "w", "b"])
 
     got = store(rows, "toxicity-sample").coalesce(1).mapInArrow(run, "s binary, w binary, b double").collect()
     return Model(np.frombuffer(bytes(got[0]["s"]), np.int32), np.frombuffer(bytes(got[0]["w"]), np.float32), got[0]["b"]) if got else fit([], np.zeros(0))

@@ -106,6 +106,23 @@ def test_toxicity(spark, hard):
     assert toxicity.score(hard, "doc_id", "text", model).count() == hard.count()
 
 
+def test_toxicity_scores_agree_when_the_sample_is_bounded(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").filter(held_out(F.col("doc_id")))
+
+    def scores():
+        model = toxicity.learn(docs, labels)
+        return model.bias, {r["doc_id"]: r["score"] for r in toxicity.score(held, "doc_id", "text", model).collect()}
+
+    bias, whole = scores()
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 330)
+    again, part = scores()
+    truth = {r["doc_id"]: r["toxic"] for r in held.select("doc_id", "toxic").collect()}
+    assert abs(again - bias) < 1
+    assert np.mean([abs(part[k] - s) for k, s in whole.items()]) < 0.05
+    assert sum(part[k] >= 0.3 and y == 0 for k, y in truth.items()) < 20
+
+
 def test_toxicity_with_one_class_or_none():
     one = toxicity.fit(["a", "b"], np.zeros(2))
     assert len(one.slots) == 0 and one.bias < 0
