@@ -4,7 +4,8 @@ A text is its lower-cased runs of letters and digits. Every position gives one s
 a hash of the tokens at the mask's offsets, so tokens between them may differ. Seeds of documents
 and of benchmark items meet in a join; each hit names a diagonal (document position less item
 position), and diagonals are combined before any shuffle. On each diagonal the aligned tokens are
-compared and the best stretch counts, where a match adds 1 and a substitution takes MISMATCH.
+compared and the best stretch counts, where a match adds 1 and a substitution takes MISMATCH. Where
+that one has too few equal tokens, the stretch with most equal ones counts that scores 0 or more.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import store
 
-#: Offsets that a seed hashes; the tokens between are ignored.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9))
-#: Equal tokens that an overlap needs, or all tokens of a shorter item; what a substitution takes from a stretch
-#: (4: a stretch goes on while four of five tokens are equal).
+#: Offsets that a seed hashes; the tokens between are ignored. Together they find any two substitutions in items of 12 tokens or more.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 2, 5, 6, 7))
+#: Equal tokens that an overlap needs, or four of five of a shorter item; what a substitution takes from a stretch
+#: (4: a stretch scores 0 or more while four of five tokens are equal).
 LEAST_EQUAL, MISMATCH = 12, 4
 #: Rows of seeds or hits that may be broadcast (about 40 bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
@@ -46,7 +47,7 @@ def _if_small(df: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, n_equal, n_aligned, doc_start, item_start): the best overlap of each document with each item that it repeats.
 
-    n_equal tokens are equal of n_aligned on the best stretch; starts count tokens from 0. Documents
+    n_equal tokens are equal of n_aligned on the best stretch of a diagonal; starts count tokens from 0. Documents
     without an overlap have no row. Null and empty texts, and rows with a null id, overlap nothing;
     rows that share an id are taken together; items of fewer tokens than a mask are never found.
     Ties go to the earliest stretch.
@@ -74,11 +75,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         keep = lambda new, old: F.when(better, new).otherwise(a[old])
         return F.struct(score.alias("score"), n.alias("n"), eq.alias("eq"), (a["i"] + 1).alias("i"), keep(score, "best").alias("best"), keep(n, "best_n").alias("best_n"), keep(eq, "best_eq").alias("best_eq"), keep(a["i"] + 1, "best_end").alias("best_end"))
 
+    def most(equal: Column) -> Column:
+        """(eq, n, end) of the stretch with most equal tokens that scores 0 or more, by one sorted pass.
+
+        The i-th equal token, at position m, has q = (MISMATCH + 1) * i - MISMATCH * m; a stretch from
+        the i-th to the j-th scores 0 or more where q_i <= q_j + 1. Starts are sorted in at q, ends at q + 1.
+        """
+        at = F.filter(F.transform(equal, lambda e, m: F.when(e, m)), lambda m: m.isNotNull())
+        mark = lambda m, i, end: F.struct((i * (MISMATCH + 1) - m * MISMATCH + end).alias("q"), F.lit(end).alias("end"), i.alias("i"), m.alias("m"))
+        marks = F.sort_array(F.flatten(F.transform(at, lambda m, i: F.array(mark(m, i, 0), mark(m, i, 1)))))
+
+        def walk(a: Column, x: Column) -> Column:
+            first = (x["end"] == 0) & (x["i"] < a["i"])
+            eq = x["i"] - a["i"] + 1
+            better = (x["end"] == 1) & (eq > a["eq"])
+            keep = lambda new, old: F.when(better, new).otherwise(a[old])
+            return F.struct(F.when(first, x["i"]).otherwise(a["i"]).alias("i"), F.when(first, x["m"]).otherwise(a["m"]).alias("m"), keep(eq, "eq").alias("eq"), keep(x["m"] - a["m"] + 1, "n").alias("n"), keep(x["m"] + 1, "stop").alias("stop"))
+
+        none = F.struct(F.lit(2**31 - 1).alias("i"), F.lit(0).alias("m"), F.lit(0).alias("eq"), F.lit(0).alias("n"), F.lit(0).alias("stop"))
+        return F.aggregate(marks, none, walk, lambda a: F.struct(a["eq"].alias("eq"), a["n"].alias("n"), a["stop"].alias("end")))
+
     zero = F.struct(*[F.lit(0).alias(c) for c in ("score", "n", "eq", "i", "best", "best_n", "best_eq", "best_end")])
-    scanned = aligned.select("_doc", "_item", "_diagonal", "_n", F.aggregate("_equal", zero, step).alias("s"))
-    good = scanned.filter(F.col("s.best_eq") >= F.least(F.lit(LEAST_EQUAL), F.col("_n")))
-    start = F.col("s.best_end") - F.col("s.best_n")
-    best = good.groupBy("_doc", "_item").agg(F.max(F.struct(F.col("s.best_eq"), -F.col("s.best_n"), -(F.col("_diagonal") + start), -start)).alias("b"))
+    kadane = lambda s: F.struct(s["best_eq"].alias("eq"), s["best_n"].alias("n"), s["best_end"].alias("end"))
+    needed = F.least(F.lit(LEAST_EQUAL), F.ceil(F.col("_n") * MISMATCH / (MISMATCH + 1)).cast("int"))
+    scanned = aligned.select("_doc", "_item", "_diagonal", "_equal", needed.alias("_needed"), F.aggregate("_equal", zero, step, kadane).alias("s"))
+    judged = scanned.withColumn("s", F.when(F.col("s.eq") >= F.col("_needed"), F.col("s")).otherwise(most(F.col("_equal"))))
+    good = judged.filter(F.col("s.eq") >= F.col("_needed"))
+    start = F.col("s.end") - F.col("s.n")
+    best = good.groupBy("_doc", "_item").agg(F.max(F.struct(F.col("s.eq").alias("best_eq"), -F.col("s.n"), -(F.col("_diagonal") + start), -start)).alias("b"))
     return best.select(F.col("_doc").alias(key), F.col("_item").alias(item), F.col("b.best_eq").alias("n_equal"), (-F.col("b.col2")).alias("n_aligned"), (-F.col("b.col3")).alias("doc_start"), (-F.col("b.col4")).alias("item_start"))
 
 

@@ -190,6 +190,26 @@ def test_decontamination_equals_brute_force(spark):
     assert want == {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()}
 
 
+def test_decontamination_finds_one_and_two_substitutions_anywhere(spark):
+    """Items of 12 to 20 tokens copied whole, four of five tokens equal or 12, against every stretch tried."""
+    words = {n: [f"i{n}x{k}" for k in range(n)] for n in range(12, 21)}
+    rows = []
+    for n, w in words.items():
+        for gone in [(a, b) for a in range(n) for b in range(a, n)]:
+            rows.append((len(rows), n, gone, ["pre"] * 5 + ["zz" if k in gone else x for k, x in enumerate(w)] + ["post"] * 5))
+    docs = spark.createDataFrame([(i, " ".join(t), "en") for i, _, _, t in rows], DOCS).repartition(4)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in words.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in decontaminate.overlaps(docs, bench).collect()}
+    want = {}
+    for i, n, gone, _ in rows:
+        equal = [k not in gone for k in range(n)]
+        most = max(sum(equal[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a))
+        if most >= min(12, -(-4 * n // 5)):
+            want[i, n] = most
+    assert set(got) == set(want) and len(want) == len(rows)
+    assert all(min(12, -(-4 * n // 5)) <= got[i, n] <= most for (i, n), most in want.items())
+
+
 # URL rules
 
 
