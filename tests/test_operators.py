@@ -10,6 +10,7 @@ from millrace.errors import Refused
 from millrace.operators import joins, keyed, setops, vector, windows
 from millrace.operators.cep import Matcher, Pattern, sequence_pattern
 from millrace.operators.dataflow import Stream
+from millrace.plans import catalogue
 from millrace.streaming import runtime, stateful
 
 
@@ -210,3 +211,10 @@ def test_upserts_survive_a_repeated_batch(spark, tmp_path):
     one = spark.createDataFrame([(1, 1), (2, 1)], "k long, n long")
     sink(one, 0), sink(one, 0), sink(spark.createDataFrame([(2, 5)], "k long, n long"), 1)
     assert sorted(tuple(r) for r in runtime.current(spark, f"file://{tmp_path}/u").collect()) == [(1, 1), (2, 5)]
+
+
+@pytest.mark.parametrize("name", ["cosine", "dot", "l2", "filter_eq"])
+def test_registered_searches_take_every_hundredth_vector(spark, name):
+    sf = "/root/testdata/sf0.1"
+    got = catalogue.queries()[f"vector_{name}_hundreds"](spark, sf).select("query_id").distinct().collect()
+    assert {r[0] for r in got} == {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").select("vec_id").collect()}
