@@ -218,3 +218,10 @@ def test_registered_searches_take_every_hundredth_vector(spark, name):
     sf = "/root/testdata/sf0.1"
     got = catalogue.queries()[f"vector_{name}_hundreds"](spark, sf).select("query_id").distinct().collect()
     assert {r[0] for r in got} == {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").select("vec_id").collect()}
+
+
+def test_registered_joins_keep_all_rows_of_both_tables(spark, sf_dir):
+    rows = catalogue.queries()["join_full_whole"](spark, sf_dir).select("c_c_custkey", "o_o_orderkey").collect()
+    for k, table, key in ((0, "customer", "c_custkey"), (1, "orders", "o_orderkey")):
+        assert {r[k] for r in rows} - {None} == {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect()}
+    assert any(r[0] is None for r in rows) and any(r[1] is None for r in rows)
