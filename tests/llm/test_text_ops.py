@@ -1,5 +1,6 @@
 """Token counts, byte-level BPE, language ID, toxicity and quality rules on small tables."""
 
+import random
 import re
 import zlib
 
@@ -68,6 +69,56 @@ def test_bpe_generations_and_slices_change_nothing(monkeypatch):
         assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == lib.encode_ordinary(t)
 
 
+LONG = {
+    "letters": lambda r: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)),
+    "words": lambda r: "".join(r.choice(["the", "and", "tion", "house", "xylophone", "in"]) for _ in range(5000)),
+    "one letter": lambda r: "x" + "a" * 50_000,
+    "two letters": lambda r: "zq" + "ab" * 20_000,
+    "seven letters": lambda r: "abcdefg" * 9_000,
+    "signs": lambda r: "=" * 10_001 + " " + "-" * 777,
+    "ideographs": lambda r: "。".join("".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(40)) for _ in range(85)),
+    "common ideographs": lambda r: "".join(r.choice("的一是不了人我在有他") for _ in range(9000)),
+    "white space": lambda r: "a" + " " * 5000 + "b" + "\n" * 3000 + " c \t\t d  e ",
+    "digits": lambda r: "1234567890" * 3000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_bpe_of_long_words_equals_tiktoken(name):
+    file = P.path("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(file), special_tokens={})
+    text = LONG[name](random.Random(name))
+    codec = bpe.Codec(file, P.PATTERN)
+    ids = codec.encode([text])
+    assert np.frombuffer(ids[0], "<u4").tolist() == lib.encode_ordinary(text)
+    assert codec.decode(ids) == [text.encode()] and codec.decode([b"", *ids, b""])[1] == text.encode()
+
+
+def test_bpe_blocks_change_nothing(monkeypatch):
+    """Seams in every place of random words, over a few letters so that merges compete."""
+    file = P.path("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(file), special_tokens={})
+    r = random.Random(8)
+    texts = ["".join(r.choice(s) for _ in range(r.randrange(1, 60))) for s in ("ab", "aeinst", "th e", "=-", "the \n\t", "\u4e00\u4e8c\u00e9") for _ in range(80)]
+    for block in (1, 2, 3, 7, 32):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        got = bpe.Codec(file, P.PATTERN).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode_ordinary(t) for t in texts]
+    assert bpe.Codec(file, P.PATTERN, cut=None).encode(texts) == got
+
+
+def test_bpe_refuses_unknown_ids():
+    with pytest.raises(ValueError):
+        bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).decode([np.array([60_000], "<u4").tobytes()])
+
+
+def test_texts_are_cut_only_where_the_pattern_cuts():
+    """What the standard library takes for other than white space is no white space to the pattern's engine either."""
+    import regex
+
+    assert not [c for c in map(chr, range(0x110000)) if regex.match(r"\s", c) and not re.match(r"\s", c)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert token_count.count_tokens(none, "doc_id", "text", P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
