@@ -2,24 +2,28 @@
 
 Every task keeps a table from pre-token to its number of pieces, made once for each pre-token
 that it meets, and joins it to the pre-token frequencies of each document. The join is by hash
-inside the task: nothing is shuffled, and the table's size is bounded.
+inside the task: nothing is shuffled, and the table's size is bounded. Pre-tokens are found by the
+pattern; stretches between spaces with a character whose class the two regular expression engines may
+see differently are split by the tokenizers library, and counted through the same table.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.bpe import CUT
 from millrace.llm.common import small_batches
 
 #: Distinct pre-tokens that a task keeps; beyond it the table starts anew, and counts stay the same.
 TABLE_SIZE = 300_000
-#: Code points for which both regular expression engines know the same classes; other texts are split by the library.
-SAME_CLASSES = r"[^\x00-ԯ‐-⁞、-鿯]"
+#: Code points other than those for which both regular expression engines know the same classes.
+OTHER_CLASSES = r"[^\x00-ԯ‐-⁞、-鿯]"
 
 
 class PieceCounter:
@@ -39,7 +43,7 @@ class PieceCounter:
         own = Tokenizer.from_file(file)
         self.model, self.pre = own.model, own.pre_tokenizer
         self.added = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))) if spec["added_tokens"] else None
-        self.split, self.odd = regex.compile(pattern).findall, regex.compile(SAME_CLASSES).search
+        self.split, self.odd, self.cut = regex.compile(pattern).findall, regex.compile(OTHER_CLASSES).search, re.compile(f"(?={CUT})").split
         # The printable characters that stand for the bytes in such vocabularies.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -53,11 +57,18 @@ class PieceCounter:
         self.pieces[piece] = n
         return n
 
+    def _frequencies(self, text: str) -> Counter[str]:
+        if not self.odd(text):
+            return Counter(self.split(text))
+        found: Counter[str] = Counter()
+        for part, times in Counter(self.cut(text)).items():
+            for piece in [part[a:b] for _, (a, b) in self.pre.pre_tokenize_str(part)] if part and self.odd(part) else self.split(part):
+                found[piece] += times
+        return found
+
     def _segment(self, text: str) -> int:
-        if self.odd(text):
-            return sum(len(self.model.tokenize(shown)) for shown, _ in self.pre.pre_tokenize_str(text)) if text else 0
         known, total = self.pieces, 0
-        for piece, times in Counter(self.split(text)).items():
+        for piece, times in self._frequencies(text).items():
             n = known.get(piece)
             total += times * (n if n is not None else self._pieces(piece))
         return total
@@ -73,7 +84,7 @@ def count_tokens(df: DataFrame, key: str, text: str, file: str, pattern: str, li
     """(key, n_bytes, n_tokens, over_limit) for each input row, over whole texts.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay. No begin or end tokens,
-    no truncation; the strings of added tokens inside a text count as those tokens.
+    no truncation; the strings of added tokens inside a text count as those tokens. Other columns are not read.
     """
     small_batches(df.sparkSession)
 
