@@ -88,11 +88,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on rows whose id is not held out.
 
-    Null ids, labels and texts are not learned from; a repeated id counts as often as its rows. At
-    most about SAMPLE_ROWS rows of each class are drawn, by a hash of the id; where the classes are
-    drawn at different rates, the bias is set back to the odds before the draw.
+    Null ids, labels and texts are not learned from; equal label rows count once, a repeated id as often as
+    its rows. At most about SAMPLE_ROWS ids of each class are drawn, by a hash of the id; where the classes are
+    drawn at different rates, the bias is set back to the odds before the draw. Where ids repeat so often that
+    the sample holds over four times SAMPLE_ROWS, it is thinned, both classes alike.
     """
-    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull() & ~held_out(F.col("_k")))
+    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull() & ~held_out(F.col("_k"))).distinct()
     count = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     if not count:
         return fit([], np.zeros(0))
@@ -107,7 +108,10 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         m = fit([t for _, t, _ in seen], np.array([y for _, _, y in seen], float))
         yield pa.record_batch([pa.array([m.slots.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias - prior])], names=["s", "w", "b"])
 
-    got = store(rows, "toxicity-sample").coalesce(1).mapInArrow(run, "s binary, w binary, b double").collect()
+    sample = store(rows, "toxicity-sample")
+    if (m := sample.count()) > 4 * SAMPLE_ROWS:
+        sample = sample.filter(F.rand(5) < 2 * SAMPLE_ROWS / m)
+    got = sample.coalesce(1).mapInArrow(run, "s binary, w binary, b double").collect()
     return Model(np.frombuffer(bytes(got[0]["s"]), np.int32), np.frombuffer(bytes(got[0]["w"]), np.float32), got[0]["b"]) if got else fit([], np.zeros(0))
 
 
@@ -124,14 +128,15 @@ def score(df: DataFrame, key: str, text: str, model: Model, threshold: float = 0
     """(key, held_out, score, predicted) for each input row. Null and empty texts get the score of no features."""
     spark = df.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # MOST_SLOTS * 8 bytes at most, whatever the input
+    shared = spark.sparkContext.broadcast((model.slots, model.weights, model.bias))  # arrays, so that workers need no class; MOST_SLOTS * 8 bytes at most, whatever the input
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = np.zeros(1 << HASH_BITS, np.float32)
-        table[shared.value.slots] = shared.value.weights
+        slots, weights, bias = shared.value
+        table[slots] = weights
         for p in parts:
-            yield pd.Series(score_texts(p, table, shared.value.bias))
+            yield pd.Series(score_texts(p, table, bias))
 
     got = df.select(F.col(key), held_out(F.col(key)).alias("held_out"), scored(F.col(text)).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
