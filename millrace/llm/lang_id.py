@@ -19,7 +19,7 @@ from millrace.llm.common import held_out, small_batches
 #: Bytes of learned text in a language's dictionary, and the most that one document gives to it: the fit is on a
 #: bounded sample of labelled rows, whatever the size of the corpus.
 DICTIONARY_BYTES, FROM_ONE = 96_000, 2_000
-#: Documents drawn for each language before the dictionary is filled, in expectation.
+#: Documents drawn for each language before the dictionary is filled, at most.
 DRAWN = 96
 #: Languages that a table may have; dictionaries of all are broadcast.
 MAX_LANGUAGES = 400
@@ -30,16 +30,20 @@ UNKNOWN = "und"
 
 
 def learn_dictionaries(df: DataFrame, key: str, text: str, lang: str) -> dict[str, bytes]:
-    """A dictionary for each non-null language, from rows that are not held out. Languages of no text get none."""
-    seen = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)) & (F.length(text) > 0))
-    sizes = {r[0]: r[1] for r in seen.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
+    """A dictionary for each non-null language, from rows that are not held out. Languages of no text get none.
+
+    Rows are dealt to DRAWN buckets of their language by a hash of id and text; a bucket gives the row of least hash, so
+    that null and repeated ids, and any number of equal rows, change neither the bound nor which languages are found.
+    """
+    draw = F.xxhash64(F.col(key), F.col(text), F.lit(7))
+    seen = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)) & (F.length(text) > 0)).select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text"))
+    least = seen.groupBy("lang", F.pmod("draw", F.lit(DRAWN)).alias("bucket")).agg(F.min("draw").alias("draw")).select("lang", "draw").limit(MAX_LANGUAGES * DRAWN + 1).collect()
+    if len({r["lang"] for r in least}) > MAX_LANGUAGES or len(least) > MAX_LANGUAGES * DRAWN:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    if not least:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, DRAWN / n))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    rows = seen.filter(draw < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), draw.alias("draw"), F.encode(F.lower(F.substring(text, 1, FROM_ONE)), "utf-8").alias("text")).collect()
+    drawn = F.broadcast(df.sparkSession.createDataFrame(least, "lang string, draw long"))
+    rows = seen.join(drawn, ["lang", "draw"]).select("lang", "draw", F.encode(F.lower(F.substring("text", 1, FROM_ONE)), "utf-8").alias("text")).distinct().collect()
     parts: dict[str, bytearray] = defaultdict(bytearray)
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         own = parts[r["lang"]]
