@@ -20,9 +20,7 @@ import base64
 import contextlib
 import ctypes
 import gc
-import os
 import re
-import tempfile
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
@@ -37,9 +35,9 @@ from millrace.llm.common import small_batches
 TABLE_SIZE = 200_000
 #: Characters of text that a task works on at once, beyond the one text that reaches it.
 CHUNK = 1_500_000
-#: Bytes of words that one query contracts, and bytes in a block of a word.
-SLICE, BLOCK = 600_000, 32
-MEMORY = "150MB"
+#: Bytes of words that one query contracts, bytes in a block of a word, and ids that one query decodes.
+SLICE, BLOCK, DECODED = 400_000, 32, 1_000_000
+MEMORY = "200MB"
 #: Where a text may be cut ahead of the pattern: a space before something else than white space begins a match of
 #: the pattern, whatever stands before it, and a match that ends there would end there at the end of a text too. ASCII
 #: letters behind such a space, up to the next one, are one match.
@@ -84,8 +82,7 @@ class Codec:
         self.cut, self.plain = re.compile(cut).split if cut else lambda t: [t], cut is not None
         self.bytes_of = {k.to_bytes(4, "little"): b for b, k in self.ranks.items()}
         self.one = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        folder = os.environ.get("TMPDIR") or tempfile.gettempdir()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": f"{folder}/duckdb-{os.getpid()}"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})  # slices fit: nothing is spilled
         merges = [((left << 24) + right, k << 32) for b, k in self.ranks.items() for at in range(1, len(b)) if (left := self.ranks.get(b[:at])) is not None and (right := self.ranks.get(b[at:])) is not None]
         columns = [pa.array(c, pa.int64()) for c in zip(*merges, strict=True)] if merges else [pa.array([], pa.int64())] * 2
         self._table("merges", both=columns[0], rank=columns[1])
@@ -235,16 +232,18 @@ class Codec:
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids. An id that the vocabulary lacks is an error."""
         flat = np.frombuffer(b"".join(ids), "<u4")
-        self.db.register("ids", pa.table({"p": np.arange(len(flat), dtype=np.int32), "id": flat.astype(np.int32)}))
-        pieces = self.db.sql(DECODE).to_arrow_table().column("b")
-        if len(pieces) != len(flat):
-            raise ValueError(f"{len(flat) - len(pieces)} ids are not in the vocabulary")
         # The sorted column's buffers hold the pieces one after the other.
         lengths, data = [np.zeros(1, np.int64)], []
-        for c in pieces.chunks:
-            at = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1]
-            lengths.append(np.diff(at))
-            data.append(memoryview(c.buffers()[2])[int(at[0]) : int(at[-1])])
+        for k in range(0, len(flat), DECODED):
+            part = flat[k : k + DECODED]
+            self.db.register("ids", pa.table({"p": np.arange(len(part), dtype=np.int32), "id": part.astype(np.int32)}))
+            pieces = self.db.sql(DECODE).to_arrow_table().column("b")
+            if len(pieces) != len(part):
+                raise ValueError(f"{len(part) - len(pieces)} ids are not in the vocabulary")
+            for c in pieces.chunks:
+                at = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1]
+                lengths.append(np.diff(at))
+                data.append(memoryview(c.buffers()[2])[int(at[0]) : int(at[-1])])
         whole, place = b"".join(data), np.cumsum(np.concatenate(lengths), dtype=np.int64)
         ends = place[np.cumsum([0] + [len(x) // 4 for x in ids])].tolist()
         return [whole[a:b] for a, b in pairwise(ends)]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,11 @@ CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session makes its own; others are refused."""
     named = spark.conf.get(CHECKPOINT, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} has to name a folder that driver and executors share")
         named = getattr(spark, "_millrace_dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark._millrace_dir = named
     return named.rstrip("/")
@@ -34,9 +40,67 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows that a Python worker gets at once: long texts must not fill its memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Spark's setting of the rows that a Python worker gets at once, and its value for frames that this package returns:
+#: one value, as frames are lazy and the last one set holds for all.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Few rows go to a Python worker at once: long texts must not fill its memory."""
+    spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another number of rows while a stored table is made."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+SPACE_BYTES = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text, one text after the other, and where each text's begin; none of a null text.
+
+    Words are taken from the UTF-8 bytes, eight at a time for all words at once.
+    """
+    n = len(texts)
+    at = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    size = int(at[-1] - at[0])
+    padded = np.zeros(size + 16, np.uint8)
+    if size:
+        padded[:size] = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    inside = ~SPACE_BYTES[padded[:size]]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = at[(at > 0) & (at < size)]
+    begins[edge] = inside[edge]
+    ends[edge - 1] = inside[edge - 1]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(ends) + 1 - starts
+    eight = np.ndarray((size + 8,), "<u8", padded.data, 0, (1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = _stirred(lengths.astype(np.uint64) * MULTIPLY + (eight[starts] & masks[np.minimum(lengths, 8)]))
+    k, rest = 8, np.flatnonzero(lengths > 8)
+    while len(rest):
+        h[rest] = _stirred(h[rest] * MULTIPLY + (eight[starts[rest] + k] & masks[np.minimum(lengths[rest] - k, 8)]))
+        k += 8
+        rest = rest[lengths[rest] > k]
+    return h, np.searchsorted(starts, at)
 
 
 def words(text: Column) -> Column:

@@ -20,8 +20,10 @@ MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9), (0, 1, 2, 5
 #: Equal tokens that an overlap needs, or four of five of a shorter item; what a substitution takes from a stretch
 #: (4: a stretch scores 0 or more while four of five tokens are equal).
 LEAST_EQUAL, MISMATCH = 12, 4
-#: Rows of seeds or hits that may be broadcast (about 40 bytes each); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Items of fewer tokens than a mask, down to SHORTEST, are found where all their tokens stand in a row.
+SHORTEST = 3
+#: Bytes of a table that may be broadcast, by its longs; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -32,16 +34,18 @@ def hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
+def _seeds(rows: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
     """(keep, pos, seed): a row for each position of the token hashes `h` and each mask that fits there."""
     each = rows.select(*keep, "h", F.posexplode("h").alias("pos", "_"))
     one = lambda m, mask: F.when(F.col("pos") + mask[-1] < F.size("h"), F.xxhash64(F.lit(m), *[F.get("h", F.col("pos") + k) for k in mask]))
-    made = each.select(*keep, "pos", F.explode(F.array(*[one(m, mask) for m, mask in enumerate(MASKS)])).alias("seed"))
+    made = each.select(*keep, "pos", F.posexplode(F.array(*[one(m, mask) for m, mask in enumerate(masks)])).alias("_mask", "seed"))
     return made.filter(F.col("seed").isNotNull())
 
 
-def _if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _if_small(df: DataFrame, longs: Column) -> DataFrame:
+    """A stored table, marked for broadcast if its rows' longs, and two for each row, come to no more than BROADCAST_BYTES."""
+    size = df.agg(F.sum(8 * (longs.cast("long") + 2))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -49,20 +53,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     n_equal tokens are equal of n_aligned on the best stretch of a diagonal; starts count tokens from 0. Documents
     without an overlap have no row. Null and empty texts, and rows with a null id, overlap nothing;
-    rows that share an id are taken together; items of fewer tokens than a mask are never found.
-    Ties go to the earliest stretch.
+    rows that share an id are taken together; items of fewer tokens than a mask are found where they stand whole,
+    those of fewer than SHORTEST never. Ties go to the earliest stretch. Other columns are not read. A candidate costs its
+    item's length on each diagonal that a seed names; an item and a text of one repeated word have as many as they have tokens.
     """
     items = store(benchmark.select(F.col(item).alias("_item"), hashes(F.col(item_text)).alias("h")).filter(F.col("_item").isNotNull() & (F.size("h") > 0)), "decontaminate-items")
-    theirs = store(_seeds(items, ["_item"]).withColumnRenamed("pos", "_ipos").distinct(), "decontaminate-seeds")
+    short = sorted(r[0] for r in items.filter(F.size("h").between(SHORTEST, MASKS[0][-1])).select(F.size("h")).distinct().collect())
+    masks = [*MASKS, *[tuple(range(n)) for n in short]]
+    each = _seeds(items.withColumn("_n", F.size("h")), ["_item", "_n"], masks)
+    for k, n in enumerate(short):
+        each = each.filter((F.col("_n") == n) | (F.col("_mask") != len(MASKS) + k))
+    theirs = store(each.drop("_mask").withColumnRenamed("pos", "_ipos").distinct(), "decontaminate-seeds")
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter(F.col("_doc").isNotNull() & F.col("_text").isNotNull())
-    ours = _seeds(texts.select("_doc", hashes(F.col("_text")).alias("h")), ["_doc"])
-    diagonals = ours.join(_if_small(theirs), "seed").select("_doc", "_item", (F.col("pos") - F.col("_ipos")).alias("_diagonal")).distinct()
+    ours = _seeds(texts.select("_doc", hashes(F.col("_text")).alias("h")), ["_doc"], masks).drop("_mask")
+    diagonals = ours.join(_if_small(theirs, F.lit(4)), "seed").select("_doc", "_item", "_n", (F.col("pos") - F.col("_ipos")).alias("_diagonal")).distinct()
     hits = store(diagonals, "decontaminate-hits")
     # Each candidate meets its document's tokens, made anew for candidates only, and its item's.
-    asked = hits.groupBy("_doc").agg(F.collect_list(F.struct("_item", "_diagonal")).alias("_asked"))
-    found = texts.join(_if_small(store(asked, "decontaminate-asked")), "_doc").select("_doc", hashes(F.col("_text")).alias("d"), "_asked")
-    pairs = found.select("_doc", "d", F.explode("_asked").alias("_a")).select("_doc", F.col("_a._item").alias("_item"), F.col("_a._diagonal").alias("_diagonal"), "d")
-    aligned = pairs.join(_if_small(items), "_item").select("_doc", "_item", "_diagonal", F.size("h").alias("_n"), F.transform("h", lambda w, i: F.coalesce(F.when(i + F.col("_diagonal") >= 0, F.get("d", i + F.col("_diagonal")) == w), F.lit(False))).alias("_equal"))
+    asked = hits.groupBy("_doc").agg(F.collect_list(F.struct("_item", "_diagonal", "_n")).alias("_asked"))
+    found = texts.join(_if_small(store(asked, "decontaminate-asked"), 3 * F.size("_asked")), "_doc").select("_doc", hashes(F.col("_text")).alias("d"), "_asked")
+    # Only the tokens that an item can meet on a diagonal are copied for it, not the whole text.
+    facing = lambda a: F.struct(a["_item"].alias("_item"), a["_diagonal"].alias("_diagonal"), F.slice("d", F.greatest(a["_diagonal"], F.lit(0)) + 1, a["_n"]).alias("d"))
+    pairs = found.select("_doc", F.explode(F.transform("_asked", facing)).alias("_a")).select("_doc", "_a.*")
+    skipped = F.greatest(-F.col("_diagonal"), F.lit(0))
+    aligned = pairs.join(_if_small(items, F.size("h")), "_item").select("_doc", "_item", "_diagonal", F.size("h").alias("_n"), F.transform("h", lambda w, i: F.coalesce(F.when(i >= skipped, F.get("d", i - skipped) == w), F.lit(False))).alias("_equal"))
 
     def step(a: Column, equal: Column) -> Column:
         """Kadane's scan: the running stretch (score, equal, length) and the best so far; i counts positions."""
@@ -109,4 +122,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that overlap no item, with all their columns. Rows with a null id stay."""
     bad = store(overlaps(docs, benchmark, key, text, item, item_text).select(F.col(key).alias("_bad")).distinct(), "decontaminate-bad")
-    return docs.join(_if_small(bad), docs[key] == F.col("_bad"), "left_anti")
+    bad = _if_small(bad, F.lit(1))
+    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")

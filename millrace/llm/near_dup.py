@@ -18,13 +18,14 @@ from __future__ import annotations
 import gc
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, store, words
+from millrace.llm.common import small_batches, store, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity shares a band with probability 1 - (1 - 0.8**3)**10 = 0.9992.
@@ -38,6 +39,8 @@ IDF_SHARE = 0.25
 BROADCAST_ROWS = 200_000
 #: Nodes in a block when a family that its leader leaves in several classes is compared.
 BLOCK = 1_500
+#: Members of a leader's family that meet one copy of its text.
+MEMBERS = 500
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,10 +61,10 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(batch_column: pa.Array) -> Iterator[np.ndarray]:
-    offsets = batch_column.offsets.to_numpy()
-    flat = batch_column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+def _texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
+    flat, offsets = word_hashes(column)
+    for a, b in pairwise(offsets.tolist()):
         yield flat[a:b]
 
 
@@ -82,6 +85,22 @@ class Weights:
         return s, (times * idf).astype(np.float32)
 
 
+class Shared:
+    """The weights on the executors: only arrays are broadcast, so that workers need no class of this package but by value."""
+
+    def __init__(self, arrays):
+        self.arrays = arrays
+
+    @property
+    def value(self) -> Weights:
+        return Weights(*self.arrays.value)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: the sum of least weights over the sum of largest."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -154,7 +173,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in sums.values()]), pa.array([n] + [0] * (len(sums) - 1), pa.int64())], names=["place", "block", "n"])
 
     kind = "place int, block binary, n long"
-    parts = rows.select("_h").mapInArrow(count, kind)
+    parts = rows.select("_text").mapInArrow(count, kind)
     blocks = SKETCH_ROWS * (1 << SKETCH_BITS) // SKETCH_BLOCK
     sketch = np.zeros((blocks, SKETCH_BLOCK), np.uint32)
     documents = 0
@@ -180,13 +199,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, shared, least: float) -> DataFrame:
-    """The pairs (x, y) whose similarity is `least` or more, by whole texts."""
+    """The pairs (x, y) whose similarity is `least` or more, by whole texts.
+
+    A y may belong to any share of the pairs: they are dealt to parts of MEMBERS, and each part gets a copy of its text.
+    """
     asked = _freed(pairs.select(F.col("x").alias("_id")).union(pairs.select("y")).distinct(), "near-asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = _freed(rows.select("_id", "_text").join(asked, "_id"), "near-texts")
     own = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"t{c}"))
-    both = pairs.join(own("x"), "x").join(own("y"), "y")
-    hashed = lambda c: F.transform(words(F.col(c)), lambda w: F.xxhash64(w))
+    parts = pairs.groupBy("y").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_parts"))
+    dealt = pairs.join(parts, "y").withColumn("_part", F.pmod(F.xxhash64("x"), F.col("_parts")).cast("int"))
+    copies = parts.join(own("y"), "y").select("y", "ty", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    both = dealt.join(own("x"), "x").join(copies, ["y", "_part"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
@@ -194,16 +218,16 @@ def _verified(rows: DataFrame, pairs: DataFrame, shared, least: float) -> DataFr
         for b in batches:
             x, y = (b.column(k).to_pylist() for k in (0, 1))
             good = []
-            for k, (p, q) in enumerate(zip(_texts(b.column(2)), _texts(b.column(3)), strict=True)):
-                raw = q.tobytes()
-                if last[0] != y[k] or last[1] != raw:
-                    last = (y[k], raw, weights.of(q))
+            leaders = b.column(3).to_pylist()
+            for k, p in enumerate(_texts(b.column(2))):
+                if last[0] != y[k] or last[1] != leaders[k]:
+                    last = (y[k], leaders[k], weights.of(word_hashes(pa.array(leaders[k : k + 1]))[0]))
                 if similarity(weights.of(p), last[2]) >= least:
                     good.append(k)
             yield pa.record_batch([pa.array([x[k] for k in good], pa.int64()), pa.array([y[k] for k in good], pa.int64())], names=["x", "y"])
 
     small_batches(rows.sparkSession)
-    return both.select("x", "y", hashed("tx"), hashed("ty")).mapInArrow(check, "x long, y long")
+    return both.select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long")
 
 
 def _rest(rows: DataFrame, led: DataFrame, found: DataFrame, shared, least: float) -> DataFrame | None:
@@ -229,12 +253,12 @@ def _rest(rows: DataFrame, led: DataFrame, found: DataFrame, shared, least: floa
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = lambda lone, l, m: ["y", l.alias("l"), m.alias("m"), F.lit(lone).alias("lone"), "node", "c", (F.col("c") == F.col("m")).alias("main"), "_text"]  # noqa: E731, E741
     pairs = full.filter("c <> m").select(*columns(True, own(F.col("bl")), every(F.col("bm")))).unionByName(full.select(*columns(False, every(F.col("bl")), own(F.col("bm")))))
-    pairs = pairs.select("y", "l", "m", "lone", "node", "c", "main", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
+    pairs = pairs.select("y", "l", "m", "lone", "node", "c", "main", "_text")
 
     def compare(group: pa.Table) -> pa.Table:
         weights = shared.value
         lone, node, c, main = (group.column(n).to_numpy() for n in ("lone", "node", "c", "main"))
-        vectors = [weights.of(h) for h in _texts(group.column("_h").combine_chunks())]
+        vectors = [weights.of(h) for h in _texts(_one(group.column("_text")))]
         them = np.flatnonzero(~lone)
         x, y = [], []
         if len(them):
@@ -267,9 +291,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & (F.coalesce("_text", F.lit("")) != ""))
-    hashed = rows.select("_id", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
-    sketch, documents = document_frequencies(hashed)
-    shared = spark.sparkContext.broadcast(Weights(sketch, documents))  # 8 MB, whatever the input
+    sketch, documents = document_frequencies(rows)
+    shared = Shared(spark.sparkContext.broadcast((sketch, documents)))  # 8 MB, whatever the input
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
@@ -300,7 +323,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     named = _freed(rows.select("_id", F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), F.col("_text")).alias("b")).distinct(), "near-named")
     nodes = named.groupBy("a", "b").agg(F.min("_id").alias("node"))
     nodes = _freed(named.join(nodes, ["a", "b"]).select("_id", "node").distinct(), "near-nodes")
-    signed = hashed.mapInArrow(sign, "_id long, k long")
+    signed = rows.mapInArrow(sign, "_id long, k long")
     bands = _freed(signed.join(nodes.filter("_id = node").select("_id").distinct(), "_id").select("k", F.col("_id").alias("node")).distinct(), "near-bands")
     # First every node against the leader of each of its buckets: the node whose buckets hold most nodes, which is
     # the one that the others of a family resemble most.
@@ -332,4 +355,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     """The rows of docs without those whose class has a smaller id; columns as they are."""
     gone = store(classes(docs, key, text, least).filter("not kept").select(F.col(key).alias("_gone")).distinct(), "near-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

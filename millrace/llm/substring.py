@@ -3,12 +3,16 @@
 Equal windows choose the same anchor (the least k-gram hash in them), so a window can only repeat
 within passages around equal anchors. Anchors that occur once are done after a count. Passages of
 the others are collapsed where they are equal; distinct passages go to shards by anchor. In each
-shard an FM-index over the shard's passages gives their matching statistics by backward search:
-where each window first stands. Equal passages after the first repeat it whole.
+shard a compressed FM-index over the shard's passages gives their matching statistics by backward
+search; windows that match several rows are reported, with the place where they first stand. Equal
+passages after the first repeat it whole.
+
+An anchor's passages are dealt to blocks of BLOCK_PASSAGES, so that no anchor fills a task. Windows of
+an anchor with several blocks that are the first ones in theirs meet once more, by their own hash, in
+shards of the same kind: a window has at most as many copies there as the anchor has blocks.
 
 Joins are left to Spark: a side is broadcast only below its size threshold, so plans are alike at
-every size. Nothing is compared pair by pair. An anchor with very many distinct passages is settled window by
-window with a combining aggregate, exactly and without gathering it in one task.
+every size. Nothing is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -20,21 +24,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from millrace.llm.common import small_batches, store, words
+from millrace.llm.common import small_batches, store, word_hashes
 from millrace.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 20, 6
 #: Windows that look for one anchor.
 REACH = WINDOW - GRAM + 1
-#: Distinct passages of one anchor that go through an index; those of others are settled by windows.
-MOST_PASSAGES = 1_000
+#: Distinct passages of one anchor in a block, in expectation.
+BLOCK_PASSAGES = 1_000
 #: Passages in a shard, in expectation (about 30 words each).
 SHARD_PASSAGES = 10_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 FIRST_ID = -(1 << 63)
 
-DOC = "_id long, _th long"
+DOC, DOC_NAMES = "_id long, _th long", ("_id", "_th")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -42,12 +47,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column."""
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False).view(np.uint64)[: offsets[-1]], offsets.astype(np.int64)
-
-
 def anchor_runs(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows with one anchor, in texts that lie one after the other.
 
@@ -89,26 +88,25 @@ def anchor_runs(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID).cast("long")).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"), F.col(text).alias("_text"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID).cast("long")).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
-def _word_hashes():
-    return F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h")
+def _anchors(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(anchor_runs(*word_hashes(b.column(0)))[3], pa.int64())], names=["anchor"])
 
+    return rows.select("_text").mapInArrow(run, "anchor long")
 
-def _runs(rows: DataFrame, only_anchor: bool) -> DataFrame:
+
+def _runs(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets = _flat(b.column(2))
-            text, s0, s1, anchor, passage = anchor_runs(h, offsets)
-            if only_anchor:
-                yield pa.record_batch([pa.array(anchor, pa.int64())], names=["anchor"])
-            else:
-                ids, th = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                yield pa.record_batch([pa.array(x, t) for x, t in ((ids[text], pa.int64()), (th[text], pa.int64()), (s0, pa.int32()), (s1, pa.int32()), (anchor, pa.int64()), (passage, pa.int64()))], names=["_id", "_th", "s0", "s1", "anchor", "passage"])
+            text, s0, s1, anchor, passage = anchor_runs(*word_hashes(b.column(2)))
+            ids, th = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield pa.record_batch([pa.array(x, t) for x, t in ((ids[text], pa.int64()), (th[text], pa.int64()), (s0, pa.int32()), (s1, pa.int32()), (anchor, pa.int64()), (passage, pa.int64()))], names=["_id", "_th", "s0", "s1", "anchor", "passage"])
 
-    long_ones = rows.select("_id", "_th", _word_hashes())
-    return long_ones.mapInArrow(run, "anchor long" if only_anchor else f"{DOC}, s0 int, s1 int, anchor long, passage long")
+    return rows.select("_id", "_th", "_text").mapInArrow(run, f"{DOC}, s0 int, s1 int, anchor long, passage long")
 
 
 def _freed(df: DataFrame, name: str) -> DataFrame:
@@ -121,94 +119,89 @@ def _freed(df: DataFrame, name: str) -> DataFrame:
 
 def _passages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The word hashes of the wanted passages (bytes), with the columns of wanted."""
-    lists = _freed(wanted.groupBy("_id", "_th").agg(F.collect_list(F.struct("s0", "s1", "anchor", "passage")).alias("_a")), "substring-wanted")
+    lists = _freed(wanted.groupBy("_id", "_th").agg(F.collect_list(F.struct("s0", "s1", "anchor", "passage", "blocks")).alias("_a")), "substring-wanted")
     found = rows.join(lists, ["_id", "_th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets = _flat(b.column(2))
+            h, offsets = word_hashes(b.column(2))
             asked = b.column(3)
             ends = asked.offsets.to_numpy()
             text = np.repeat(np.arange(len(asked)), np.diff(ends))
-            values = asked.values.slice(0, int(ends[-1]))
-            cols = {n: values.field(n).to_numpy(zero_copy_only=False) for n in ("s0", "s1", "anchor", "passage")}
+            values = asked.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+            cols = {n: values.field(n).to_numpy(zero_copy_only=False) for n in ("s0", "s1", "anchor", "passage", "blocks")}
             a = offsets[text] + cols["s0"]
             z = offsets[text] + cols["s1"] + WINDOW
             raw = h.tobytes()
             ids, th = (b.column(k).to_numpy(zero_copy_only=False)[text] for k in (0, 1))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(th, pa.int64()), pa.array(cols["s0"], pa.int32()), pa.array(cols["anchor"], pa.int64()), pa.array(cols["passage"], pa.int64()), pa.array([raw[8 * i : 8 * j] for i, j in zip(a.tolist(), z.tolist(), strict=True)], pa.binary())],
-                names=["_id", "_th", "s0", "anchor", "passage", "w"],
-            )
+            kinds = (("_id", ids, pa.int64()), ("_th", th, pa.int64()), ("s0", cols["s0"], pa.int32()), ("anchor", cols["anchor"], pa.int64()), ("passage", cols["passage"], pa.int64()), ("blocks", cols["blocks"], pa.int32()))
+            yield pa.record_batch([*[pa.array(x, t) for _, x, t in kinds], pa.array([raw[8 * i : 8 * j] for i, j in zip(a.tolist(), z.tolist(), strict=True)], pa.binary())], names=[*[n for n, _, _ in kinds], "w"])
+
+    return found.select("_id", "_th", "_text", "_a").mapInArrow(run, f"{DOC}, s0 int, anchor long, passage long, blocks int, w binary")
 
-    return found.select("_id", "_th", _word_hashes(), "_a").mapInArrow(run, f"{DOC}, s0 int, anchor long, passage long, w binary")
 
+MASKS = f"{DOC}, s0 int, anchor long, passage long, mask int, w binary"
 
-def _masks_by_index(passages: DataFrame, shards: int) -> DataFrame:
-    """(anchor, passage, mask): bit j says that the passage's window j also starts earlier. A partition is a shard."""
+
+def _masks(passages: DataFrame, shards: int, *by) -> DataFrame:
+    """The passages with a mask: bit j says that the passage's window j also starts earlier in its shard. A partition is a shard; w stays where blocks is over 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
-        rows = pa.Table.from_batches(got) if got else None
+        rows = pa.Table.from_batches(got).combine_chunks() if got else None
         if rows is None or not rows.num_rows:
             return
         # Rows of documents that are equal in id and text give a passage several times.
-        names = list(zip(rows.column("anchor").to_pylist(), rows.column("passage").to_pylist(), strict=True))
+        names = list(zip(*(rows.column(n).to_pylist() for n in ("anchor", "passage", "s0")), strict=True))
         rows = rows.take(list({n: k for k, n in enumerate(names)}.values()))
         rows = rows.sort_by([("_id", "ascending"), ("_th", "ascending"), ("s0", "ascending")])
-        index = FMIndex([np.frombuffer(x, np.int64) for x in rows.column("w").to_pylist()], WINDOW)
-        first, offset = index.first_places()
+        texts = [np.frombuffer(x, np.int64) for x in rows.column("w").to_pylist()]
+        index = FMIndex(texts, WINDOW)
+        low, high, offset = index.matching_statistics(texts)
         n = np.diff(offset)
-        j = np.arange(len(first)) - np.repeat(offset[:-1], n)
-        earlier = (first < np.repeat(index.begin, n) + j).astype(np.int32) << j.astype(np.int32)
-        masks = np.add.reduceat(earlier, offset[:-1])  # every passage has a window
-        yield pa.record_batch([rows.column("anchor").combine_chunks(), rows.column("passage").combine_chunks(), pa.array(masks, pa.int32())], names=["anchor", "passage", "mask"])
-
-    return passages.repartition(shards, "anchor").mapInArrow(run, "anchor long, passage long, mask int")
-
-
-def _masks_by_window(passages: DataFrame) -> DataFrame:
-    """The same for anchors with very many distinct passages: windows are combined by hash, whatever their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [[] for _ in range(7)]
-            for i, t, s, a, p, w in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                h = _mixed(np.frombuffer(w, np.uint64))
-                for j in range(len(h) - WINDOW + 1):
-                    value = int.from_bytes(_digest(h[j : j + WINDOW].tobytes()), "little", signed=True)
-                    for c, x in zip(out, (i, t, s + j, a, p, j, value), strict=True):
-                        c.append(x)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["_id", "_th", "s", "anchor", "passage", "j", "v"])
-
-    each = store(passages.dropDuplicates(["anchor", "passage"]).select("_id", "_th", "s0", "anchor", "passage", "w").mapInArrow(run, f"{DOC}, s int, anchor long, passage long, j int, v long"), "substring-windows")
-    first = each.groupBy("v").agg(F.min(F.struct("_id", "_th", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("v", "f")
-    late = each.join(first, "v").filter(F.struct("_id", "_th", "s") > F.col("f"))
-    return late.groupBy("anchor", "passage").agg(F.sum(F.expr("shiftleft(1, j)")).cast("int").alias("mask"))
-
-
-def _digest(raw: bytes) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(raw, digest_size=8).digest()
+        lengths = np.array([len(x) + 1 for x in texts])
+        j = np.arange(len(low)) - np.repeat(offset[:-1], n)
+        own = np.repeat(np.cumsum(lengths) - lengths, n) + j
+        several = np.flatnonzero(high - low > 1)  # the threshold: windows that stand in the shard twice or more
+        earlier = np.zeros(len(low), np.int32)
+        earlier[several] = index.first_places(low[several], high[several]) < own[several]
+        masks = np.add.reduceat(earlier << j.astype(np.int32), offset[:-1])  # every passage has a window
+        w = pa.array([x if k > 1 else None for x, k in zip(rows.column("w").to_pylist(), rows.column("blocks").to_pylist(), strict=True)], pa.binary())
+        yield pa.record_batch([*[rows.column(c).combine_chunks() for c in ("_id", "_th", "s0", "anchor", "passage")], pa.array(masks, pa.int32()), w], names=["_id", "_th", "s0", "anchor", "passage", "mask", "w"])
+
+    return passages.repartition(shards, *by).mapInArrow(run, MASKS)
+
+
+def _between_blocks(masks: DataFrame, parallel: int) -> DataFrame:
+    """(anchor, passage, mask) of windows that stand first in their block and earlier in another one."""
+    each = masks.filter("w is not null").select(*DOC_NAMES, "s0", "anchor", "passage", "mask", "w", F.explode(F.sequence(F.lit(0), (F.octet_length("w") / 8 - WINDOW).cast("int"))).alias("j")).filter("(shiftright(mask, j) & 1) = 0")
+    own = F.substring(F.col("w"), 8 * F.col("j") + 1, F.lit(8 * WINDOW))
+    windows = store(each.select(*DOC_NAMES, (F.col("s0") + F.col("j")).alias("s0"), "anchor", "passage", "j", own.alias("w")).withColumn("v", F.xxhash64("w")), "substring-first")
+    twice = windows.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
+    windows = store(windows.join(twice, "v"), "substring-again")
+    # A window is a passage of its own here; it is told by its anchor, passage and start.
+    shards = max(parallel, -(-windows.count() // SHARD_PASSAGES))
+    late = _masks(windows.select(*DOC_NAMES, "s0", "anchor", "passage", F.lit(1).alias("blocks"), "w", "v"), shards, "v").filter("mask != 0")
+    j = windows.select("anchor", "passage", "s0", *DOC_NAMES, "j")
+    return late.join(j, ["anchor", "passage", "s0", *DOC_NAMES]).groupBy("anchor", "passage").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(_id, _th, intervals): for each text with repeats its (s0, mask) runs of repeated windows."""
     small_batches(rows.sparkSession)
-    twice = _freed(_runs(rows, True).groupBy("anchor").count().filter("count > 1").select("anchor"), "substring-anchors")
-    runs = _freed(_runs(rows, False).join(twice, "anchor"), "substring-runs")
+    twice = _freed(_anchors(rows).groupBy("anchor").count().filter("count > 1").select("anchor"), "substring-anchors")
+    runs = _freed(_runs(rows).join(twice, "anchor"), "substring-runs")
     # Rows that are equal in id and text are one document here; what repeats is judged once for them.
     each = runs.groupBy("anchor", "passage").agg(F.min(F.struct("_id", "_th", "s0", "s1")).alias("f"))
     each = _freed(each, "substring-passages")
-    crowded = each.groupBy("anchor").count().filter(F.col("count") > MOST_PASSAGES).select("anchor", F.lit(True).alias("crowded"))
-    crowded = store(crowded, "substring-crowded")
-    marked = each.join(crowded, "anchor", "left").select("f._id", "f._th", "f.s0", "f.s1", "anchor", "passage", F.coalesce("crowded", F.lit(False)).alias("hot"))
-    n = each.count()
-    masks = _masks_by_index(_passages(rows, marked.filter(~F.col("hot"))), max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // SHARD_PASSAGES)))
+    crowded = store(each.groupBy("anchor").count().filter(F.col("count") > BLOCK_PASSAGES).select("anchor", F.ceil(F.col("count") / BLOCK_PASSAGES).cast("int").alias("blocks")), "substring-crowded")
+    wanted = each.join(crowded, "anchor", "left").select("f._id", "f._th", "f.s0", "f.s1", "anchor", "passage", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    masks = _masks(_passages(rows, wanted), max(parallel, -(-each.count() // SHARD_PASSAGES)), "anchor", F.pmod("passage", "blocks"))
     if crowded.limit(1).count():
-        masks = masks.unionByName(_masks_by_window(_passages(rows, marked.filter("hot"))))
-    masks = masks.filter("mask != 0")
+        masks = _freed(masks, "substring-blocks")
+        masks = masks.select("anchor", "passage", "mask").unionByName(_between_blocks(masks, parallel)).groupBy("anchor", "passage").agg(F.bit_or("mask").alias("mask"))
+    masks = masks.select("anchor", "passage", "mask").filter("mask != 0")
     whole = F.expr("shiftleft(1, s1 - s0 + 1) - 1")
     first = each.select("anchor", "passage", F.col("f._id").alias("i"), F.col("f._th").alias("t"), F.col("f.s0").alias("z")).join(masks, ["anchor", "passage"], "left")
     first = _freed(first, "substring-masks")
@@ -228,8 +221,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = _hashed(docs, key, text)
     found = _freed(repeated(rows), "substring-repeats")
     names = docs.columns
-    base = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID).cast("long")), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = base.join(found, ["_id", "_th"], "left").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"), "_a")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.coalesce(F.col(key).cast("long"), F.lit(FIRST_ID).cast("long")).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
+    joined = base.join(found, ["_id", "_th"], "left").select("_row", "_t", "_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -253,6 +246,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 kept.append(" ".join(w))
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["_row", "_n_words", "_n_removed", "_kept"])
 
-    kind = joined.schema["_row"].dataType.simpleString()
+    kind = StructType([joined.schema["_row"], StructField("_n_words", LongType()), StructField("_n_removed", LongType()), StructField("_kept", StringType())])
     small_batches(docs.sparkSession)
-    return joined.mapInArrow(run, f"_row {kind}, _n_words long, _n_removed long, _kept string").select("_row.*", "_n_words", "_n_removed", "_kept")
+    return joined.mapInArrow(run, kind).select("_row.*", "_n_words", "_n_removed", "_kept")

@@ -8,9 +8,6 @@ range, and a loser tree merges the runs of a range in one pass.
 
 from __future__ import annotations
 
-import os
-import pickle
-import tempfile
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
@@ -18,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path, store
+from millrace.llm.common import batches_of, new_path, small_batches, store
 from millrace.llm.url_filter import host_of
 
 END = "\r\n\r\n"
@@ -26,16 +23,17 @@ END = "\r\n\r\n"
 LEAST_REVISIT = 1000
 #: Capture time of a page that has none: this start, and a second for each step of its id.
 START = datetime(2024, 1, 1, tzinfo=UTC)
-#: Revisit rows that may be broadcast (two longs each); beyond it the decision is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Bytes of payload in one archive file, in expectation: the reader holds one file.
-FILE_BYTES = 16 << 20
-#: Index entries of a run that a merging task holds in memory before it spools the run to its own disk.
-RUN_ROWS = 20_000
+#: Revisit rows that may be broadcast (some 100 bytes each); beyond it the decision is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Bytes of payload in one archive file, in expectation: the reader holds one file. Payloads over LARGE bytes go to files of
+#: their own, by powers of two, so that a file holds FILE_BYTES or one record.
+FILE_BYTES, LARGE = 16 << 20, 64 << 10
+#: Index entries in a range of keys, in expectation: a merging task holds one range. The rest waits in shuffle files.
+RANGE_ROWS = 50_000
 
 
 def _revisits(pages: DataFrame, key: str, least: int) -> DataFrame:
-    """(page, to): the pages whose payload equals that of a page with a larger id, and that page.
+    """(page, digest, length, to): the pages whose payload equals that of a page with a larger id, and that page.
 
     Payloads are equal if their SHA-1 digests and lengths are. Counts are combined before the
     shuffle, so one payload may belong to any share of the rows.
@@ -43,24 +41,26 @@ def _revisits(pages: DataFrame, key: str, least: int) -> DataFrame:
     same = ["_d", "_n"]
     large = pages.filter(F.col("_n") >= least).select(F.col(key).alias("_p"), *same)
     groups = large.groupBy(*same).agg(F.max("_p").alias("_to"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
-    return large.join(groups, same).filter("_p < _to").select("_p", "_to").distinct()
+    return large.join(groups, same).filter("_p < _to").select("_p", *same, "_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> None:
     """Write a record for each row.
 
     A null html is an empty payload, a null url an empty target, line ends in a url are escaped.
-    Rows with a null id are written as responses and their id is read back as null; rows that
-    share an id are judged by it.
+    Rows with a null id are written as responses and their id is read back as null. Rows that
+    share an id are judged each by its own payload: equal ones are all responses or all revisits.
+    Other columns are not read. A payload over 2 GB is more than a Spark string holds.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key), F.col(url).alias("_u"), body.alias("_b"), F.sha1(body.cast("binary")).alias("_d"), F.octet_length(body).cast("long").alias("_n"))
     digests = store(rows.select(key, "_d", "_n"), "warc-digests")
-    mean = digests.agg(F.avg("_n")).first()[0] or 1.0
+    size = F.when(F.col("_n") <= LARGE, 0).otherwise(F.floor(F.log2("_n"))).cast("int")
+    sizes = {r[0]: r[1] for r in digests.groupBy(size.alias("size")).agg(F.avg("_n")).collect()} or {0: 0.0}  # 16 at most
     found = store(_revisits(digests, key, least), "warc-revisits")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = rows.join(found, rows[key] == found["_p"], "left")
+    rows = rows.join(found, (rows[key] == found["_p"]) & (rows["_d"] == found["_d"]) & (rows["_n"] == found["_n"]), "left").select(rows[key].alias(key), "_u", "_b", rows["_d"], rows["_n"], "_to")
     seen = F.col("_to").isNotNull()
     target = F.replace(F.replace(F.coalesce("_u", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -80,7 +80,10 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.lit("\r\n"),
         F.when(seen, "").otherwise(F.col("_b")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 500)))).text(path)
+    made = rows.select(size.alias("_size"), record.alias("value"))
+    for k, mean in sorted(sizes.items()):
+        own = made.filter(F.col("_size") == k) if len(sizes) > 1 else made
+        own.select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 500)))).text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -108,7 +111,7 @@ READ = "page_id long, url string, captured string, payload_bytes long, payload_d
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Captures in the archives of a folder. The digest and size of a response are taken from its block, those of a revisit from its headers."""
+    """Captures in the archives of a folder; to be run with one archive to a batch. The digest and size of a response are taken from its block, those of a revisit from its headers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -125,7 +128,6 @@ def read_archives(spark, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one archive at a time
     return spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content").mapInArrow(run, READ)
 
 
@@ -167,43 +169,20 @@ class LoserTree:
             self.losers[0] = w
 
 
-def _spooled(file) -> Iterator[tuple]:
-    file.seek(0)
-    while True:
-        try:
-            yield from pickle.load(file)  # written by this task a moment ago
-        except EOFError:
-            return
-
-
-def merge_runs(rows: Iterator[tuple[int, tuple]], in_memory: int = RUN_ROWS) -> Iterator[tuple]:
-    """Rows of sorted runs, marked by their run and arriving in any interleaving, in order. Long runs wait on disk."""
-    held: dict[int, list] = {}
-    spools: dict[int, object] = {}
-    folder = os.environ.get("TMPDIR") or tempfile.gettempdir()
+def merge_runs(rows: Iterator[tuple[object, tuple]]) -> Iterator[tuple]:
+    """Rows of sorted runs, marked by their run and arriving in any interleaving, in order."""
+    runs: dict[object, list] = {}
     for run, row in rows:
-        own = held.setdefault(run, [])
-        own.append(row)
-        if len(own) >= in_memory:
-            if run not in spools:
-                spools[run] = tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
-            pickle.dump(own, spools[run])
-            own.clear()
-
-    def one(run: int) -> Iterator[tuple]:
-        if run in spools:
-            yield from _spooled(spools[run])
-            spools[run].close()
-        yield from held[run]
-
-    yield from LoserTree(one(r) for r in sorted(held))
+        runs.setdefault(run, []).append(row)
+    yield from LoserTree(iter(runs[r]) for r in sorted(runs))
 
 
 def merge_index(captures: DataFrame) -> DataFrame:
     """Capture histories in global order of (urlkey, captured, page_id): urlkey, captured and the columns of a capture.
 
-    Keys are split by range together with the capture time and the id, so one url or host may have
-    any share of the captures. Null ids come first among equal captures.
+    Keys are split by range together with the capture time, the id and the record's place, which no two
+    captures share, so one url or host, or rows without an id, may have any share of the captures. Null ids come first
+    among equal captures.
     """
     host = F.array_join(F.reverse(F.split(host_of(F.col("url")), r"\.")), ",")
     rest = F.regexp_extract(F.col("url"), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
@@ -211,7 +190,8 @@ def merge_index(captures: DataFrame) -> DataFrame:
     order = ["urlkey", "captured", "rank", "file", "offset"]
     runs = keyed.select(*order, *[c for c in keyed.columns if c not in order]).sortWithinPartitions(*order)
     names = runs.columns
-    ranged = runs.repartitionByRange(*order[:3])
+    parallel = captures.sparkSession.sparkContext.defaultParallelism
+    ranged = runs.repartitionByRange(max(parallel, -(-captures.count() // RANGE_ROWS)), *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = names.index("run")
@@ -243,7 +223,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
             yield packed()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
-    captures.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(captures.sparkSession)
     return ranged.mapInArrow(run, kinds)
 
 
@@ -251,7 +231,6 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """Write the archives of a table of pages to the shared folder, read them back and merge their index."""
     spark = pages.sparkSession
     write_archives(pages, path := new_path(spark, "warc"), key, url, html, least)
-    captures = store(read_archives(spark, path), "warc-captures")
+    with batches_of(spark, 1):  # one archive at a time
+        captures = store(read_archives(spark, path), "warc-captures")
     return merge_index(captures)
-
-

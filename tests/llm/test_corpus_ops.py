@@ -3,12 +3,16 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, near_dup, queries, registry, substring, url_filter, warc
-from millrace.llm.fm_index import FMIndex, WaveletTree
+from millrace.llm.common import new_path, word_hashes
+from millrace.llm.fm_index import BitVector, FMIndex, WaveletTree
 from tests.oracle import connect, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,16 +37,49 @@ def test_wavelet_ranks():
         assert [int((x[:i] == s).sum()) for i, s in zip(at, c, strict=True)] == tree.rank(c, at).tolist()
 
 
-@pytest.mark.parametrize("words", [3, 50])
+def test_bits_are_counted_and_found():
+    rng = np.random.default_rng(2)
+    for n, share in ((0, 0.5), (1, 1), (64, 0.5), (65, 0), (1000, 0.03), (1000, 0.9), (128, 1)):
+        bits = rng.random(n) < share
+        v = BitVector(bits)
+        places = np.flatnonzero(bits)
+        k = np.arange(len(places) + 2)
+        assert v.select1(k).tolist() == [*places, n, n]
+        assert v.rank1(np.arange(n + 1)).tolist() == [int(bits[:i].sum()) for i in range(n + 1)]
+        assert v.get(np.arange(n)).tolist() == bits.tolist()
+
+
+@pytest.mark.parametrize("words", [2, 3, 50])
 def test_index_finds_the_first_place_of_each_window(words):
     rng = np.random.default_rng(words)
-    passages = [rng.integers(0, words, rng.integers(3, 12)) for _ in range(60)]
+    passages = [rng.integers(0, words, rng.integers(3, 40)) for _ in range(60)]
     index = FMIndex(passages, 4)
-    seen, begin = {}, 0
-    for p, found in zip(passages, index.repeats(), strict=True):
-        for k in range(len(p) - 3):
-            assert found[k] == seen.setdefault(tuple(p[k : k + 4]), begin + k)
+    low, high, offset = index.matching_statistics(passages)
+    first = index.first_places(low, high)
+    seen, begin, times = {}, 0, Counter(tuple(p[k : k + 4]) for p in passages for k in range(len(p) - 3))
+    for p, a, z in zip(passages, offset[:-1], offset[1:], strict=True):
+        assert z - a == max(0, len(p) - 3)
+        for k in range(z - a):
+            window = tuple(p[k : k + 4])
+            assert first[a + k] == seen.setdefault(window, begin + k)
+            assert high[a + k] - low[a + k] == times[window]
         begin += len(p) + 1
+    rows = np.arange(begin)
+    assert sorted(index.locate(rows)) == list(range(begin))
+
+
+def test_word_hashes_tell_words_apart():
+    texts = ["a b  a", None, "", "\n\tab\x0bc\r", "é\u2003x y", "w" * 8, "w" * 9, "w" * 17 + " " + "w" * 16, "x", "x y", "\u00a0"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["pad", *texts, "pad"], kind).slice(1, len(texts))
+        h, at = word_hashes(column)
+        split = [WORD.findall(t or "") for t in texts]
+        assert np.diff(at).tolist() == [len(w) for w in split]
+        flat = [w for t in split for w in t]
+        assert len(set(h.tolist())) == len(set(flat)) == len(set(zip(flat, h.tolist(), strict=True)))
+    assert len(word_hashes(pa.array([], pa.string()))[0]) == 0
+    many = pa.array([" ".join(f"{c}{k}" for k in range(20_000)) for c in ("", "ThTh", "aaaaaaaaaaaaaaaa")])
+    assert len(set(word_hashes(many)[0].tolist())) == 60_000
 
 
 # Substring dedup
@@ -73,9 +110,9 @@ def shared_texts():
     return rows
 
 
-@pytest.mark.parametrize("most", [1000, 1])
+@pytest.mark.parametrize("most", [1000, 3, 1])
 def test_substring(spark, shared_texts, monkeypatch, most):
-    monkeypatch.setattr(substring, "MOST_PASSAGES", most)
+    monkeypatch.setattr(substring, "BLOCK_PASSAGES", most)
     df = spark.createDataFrame([(i, t, "en", "clash") for i, t in shared_texts], "doc_id long, text string, lang string, _kept string")
     got = substring.remove_repeats(df.repartition(3)).collect()
     want = brute_repeats(shared_texts)
@@ -141,6 +178,38 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.classes(df.limit(0)).count() == 0 and near_dup.keep_one(df).count() == 6
 
 
+def test_near_duplicates_of_the_documents_against_all_pairs(spark):
+    """Links of the operator's own similarity between all pairs of sf0.01's documents with five words or more: classes hold nine of ten."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs).collect()}
+    sketch, n = near_dup.document_frequencies(docs.filter("coalesce(text, '') <> ''").select(F.col("text").alias("_text")))
+    weights = near_dup.Weights(sketch, n)
+    rows = [(r["doc_id"], weights.of(word_hashes(pa.array([r["text"]]))[0])) for r in docs.collect()]
+    postings = {}
+    for k, (_, (s, _)) in enumerate(rows):
+        for x in s.tolist():
+            postings.setdefault(x, []).append(k)
+    shared = Counter((a, b) for p in postings.values() for i, a in enumerate(p) for b in p[i + 1 :])
+    links = [(rows[a][0], rows[b][0]) for a, b in shared if near_dup.similarity(rows[a][1], rows[b][1]) >= near_dup.SIMILARITY]
+    assert len(links) > 50 and np.mean([got[a] == got[b] for a, b in links]) >= 0.99
+
+
+def test_near_duplicates_of_one_large_family(spark, monkeypatch):
+    """A leader's members are dealt to several parts and its text copied to each."""
+    monkeypatch.setattr(near_dup, "MEMBERS", 3)
+    rng = random.Random(6)
+    t = made(150, 17)
+    rows = [(k, edited(t[0], 1, rng)) for k in range(30)] + [(100 + k, edited(t[1], 1, rng)) for k in range(8)] + [(200, t[2])]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame([(i, x, "en") for i, x in rows], DOCS)).collect()}
+    assert all(got[k] == 0 for k in range(30)) and all(got[100 + k] == 100 for k in range(8)) and got[200] == 200
+
+
+def test_near_duplicates_with_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{k * k % 7919}" for k in range(30_000))
+    df = spark.createDataFrame([(1, long, "a", 1), (2, long + " end", "b", 2), (3, "x", "c", 3)], "doc_id long, text string, _gone string, _id int")
+    assert sorted((r["doc_id"], r["_gone"], r["_id"]) for r in near_dup.keep_one(df).collect()) == [(1, "a", 1), (3, "c", 3)]
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 1 << 62, 400).astype(np.uint64)
@@ -176,6 +245,15 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_repeated_words_and_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two three four five"), (3, "a b"), (4, "x " * 40), (5, "p q r s")], "item_id long, text string")
+    rows = [(1, "so Alpha, beta gamma."), (2, "alpha gamma beta"), (3, "one two three four"), (4, "0 one two three four five 6"), (5, "a b a b"), (6, "x " * 3000), (7, "x " * 11), (8, "p q z r s"), (9, "x " * 12)]
+    docs = spark.createDataFrame([(i, t, "k", "m") for i, t in rows], "doc_id long, text string, _bad string, item_id string")
+    got = {(r["doc_id"], r["item_id"], r["n_equal"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 1, 3), (4, 2, 5), (6, 4, 40), (9, 4, 12)}
+    assert sorted((r["doc_id"], r["_bad"], r["item_id"]) for r in decontaminate.clean(docs, bench).collect()) == [(k, "k", "m") for k in (2, 3, 5, 7, 8)]
+
+
 def test_decontamination_equals_brute_force(spark):
     """Every document with 12 equal tokens in a row of an item, in the driver's documents."""
     sf = "/root/testdata/sf0.01"
@@ -258,6 +336,26 @@ def test_archives_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_archives_of_pages_that_share_an_id(spark):
+    long = "y" * 1500
+    rows = [(5, "http://a.com/", "tiny"), (5, "http://a.com/", long), (8, "http://a.com/", long), (5, "http://a.com/", long), (None, "http://a.com/", long)]
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    assert got == sorted([(5, 4, "response", None), (5, 1500, "revisit", 8), (5, 1500, "revisit", 8), (8, 1500, "response", None), (None, 1500, "response", None)], key=str)
+
+
+def test_archives_of_pages_of_all_sizes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000), monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    rng = random.Random(2)
+    sizes = [rng.choice([0, 3, 999, 1000, 5000, 70_000, 300_000]) for _ in range(60)]
+    df = spark.createDataFrame([(k, f"http://h{k % 3}.com/{k % 7}", f"{k}:" + "z" * n) for k, n in enumerate(sizes)], "page_id long, url string, html string")
+    warc.write_archives(df, path := new_path(spark, "warc-test"))
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert max(r[0] for r in files) < 400_000
+    out = warc.archive(df).collect()
+    assert [(r["urlkey"], r["captured"]) for r in out] == sorted((r["urlkey"], r["captured"]) for r in out)
+    assert {r["page_id"]: r["payload_bytes"] for r in out} == {k: n + len(f"{k}:") for k, n in enumerate(sizes)}
+
+
 def test_broken_archives_are_errors():
     good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert [b for *_, b in warc.records(good * 2)] == [b"ab"] * 2
@@ -266,13 +364,12 @@ def test_broken_archives_are_errors():
             list(warc.records(bad))
 
 
-@pytest.mark.parametrize("in_memory", [2, 1000])
-def test_loser_tree_merges(in_memory):
+def test_loser_tree_merges():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7):
         runs = [sorted((rng.randrange(50), rng.randrange(9)) for _ in range(rng.randrange(20))) for _ in range(k)]
         arriving = [(n, row) for n, run in enumerate(runs) for row in run]
-        assert list(warc.merge_runs(iter(arriving), in_memory)) == sorted(row for run in runs for row in run)
+        assert list(warc.merge_runs(iter(arriving))) == sorted(row for run in runs for row in run)
 
 
 @pytest.mark.parametrize("name", ["op4_url_filter", "op10_warc"])

@@ -27,3 +27,12 @@ def test_empty_documents(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def test_columns_of_any_name_pass_the_stages(spark, sf_dir):
+    extra = {c: f"'{c}!'" for c in ("rule", "_kept", "_gone", "_bad", "_row", "_n_removed", "kept", "a.b")}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "-1 as n_words", *[f"{v} as `{c}`" for c, v in extra.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    assert docs.count() > 0
+    assert docs.select("n_words", *[f"`{c}`" for c in extra]).distinct().collect() == [(-1, *[f"{c}!" for c in extra])]
