@@ -10,10 +10,15 @@ from millrace.llm import bpe, decontaminate, near_dup, quality, substring
 from millrace.llm.common import read, store
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """A document's columns as one, beside its id and text: operators add columns, and names may clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base conditions and the decision list learned from the labels."""
     rules = quality.learn_rules(docs, read(spark, sf_dir, "labels"))
-    return quality.judge_quality(docs, rules).filter("kept").select(*docs.columns)
+    return quality.judge_quality(_whole(docs), rules).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that stand earlier; texts without such passages as they are."""
-    rows = substring.remove_repeats(docs)
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    rows = substring.remove_repeats(_whole(docs))
+    same = F.col("_n_removed") == 0
+    new = {"text": F.when(same, F.col("_row.text")).otherwise(F.col("_kept")), "n_chars": F.when(same, F.col("_row.n_chars")).otherwise(F.length("_kept").cast("long"))}
+    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
