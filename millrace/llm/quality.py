@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import words
+from millrace.llm.common import store, words
 
 #: Labelled rows that the list is learned from, at most in expectation.
 SAMPLE_ROWS = 10_000
@@ -184,17 +184,20 @@ def cover(columns: dict[str, np.ndarray], bad: np.ndarray, prunes: np.ndarray) -
 def learn_rules(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """A decision list from the labels (0: bad). No labels, or one class only: an empty list, which keeps everything.
 
-    Null ids, labels and texts are not learned from.
+    Null ids, labels and texts are not learned from; equal label rows count once. The sample's texts are a stored table,
+    so that statistics are made of them alone; where ids repeat so often that it holds over twice SAMPLE_ROWS, it is thinned.
     """
-    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull())
+    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull()).distinct()
     n = known.count()
     if not n:
         return []
     draw = F.pmod(F.xxhash64(F.col("_k"), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.withColumn("_d", draw).filter(F.col("_d") < min(1.0, SAMPLE_ROWS / n))
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("_t is not null").join(F.broadcast(drawn), "_k")
-    seen = statistics(rows, "_t").filter(~F.col("base_failed")).select("_d", "_y", *[F.col(c).cast("double") for c in FEATURES]).orderBy("_d", *FEATURES).collect()
-    table = np.array(seen, float).reshape(-1, 2 + len(FEATURES))
+    rows = store(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("_t is not null").join(F.broadcast(drawn), "_k"), "quality-sample")
+    if (m := rows.count()) > 2 * SAMPLE_ROWS:
+        rows = rows.filter(F.rand(3) < SAMPLE_ROWS / m)
+    seen = statistics(rows, "_t").filter(~F.col("base_failed")).select("_d", "_y", *[F.col(c).cast("double") for c in FEATURES]).collect()
+    table = np.array(sorted(map(tuple, seen)), float).reshape(-1, 2 + len(FEATURES))
     return cover({f: table[:, 2 + k] for k, f in enumerate(FEATURES)}, table[:, 1] == 0, np.arange(len(table)) % 3 == 0)
 
 
