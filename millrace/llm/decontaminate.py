@@ -34,11 +34,15 @@ def hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
-    """(keep, pos, seed): a row for each position of the token hashes `h` and each mask that fits there."""
+def _seeds(rows: DataFrame, keep: list[str], short: list[int], whole: bool) -> DataFrame:
+    """(keep, pos, seed): a row for each position of the token hashes `h` and each mask that fits there.
+
+    short: lengths of items that are found whole; with `whole`, rows of other lengths give no seed of such a length.
+    """
     each = rows.select(*keep, "h", F.posexplode("h").alias("pos", "_"))
-    one = lambda m, mask: F.when(F.col("pos") + mask[-1] < F.size("h"), F.xxhash64(F.lit(m), *[F.get("h", F.col("pos") + k) for k in mask]))
-    made = each.select(*keep, "pos", F.posexplode(F.array(*[one(m, mask) for m, mask in enumerate(masks)])).alias("_mask", "seed"))
+    fits = lambda mask: (F.size("h") == len(mask)) & (F.col("pos") == 0) if whole and len(mask) <= MASKS[0][-1] else F.col("pos") + mask[-1] < F.size("h")
+    one = lambda m, mask: F.when(fits(mask), F.xxhash64(F.lit(m), *[F.get("h", F.col("pos") + k) for k in mask]))
+    made = each.select(*keep, "pos", F.explode(F.array(*[one(m, mask) for m, mask in enumerate([*MASKS, *map(range, short)])])).alias("seed"))
     return made.filter(F.col("seed").isNotNull())
 
 
@@ -59,13 +63,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     """
     items = store(benchmark.select(F.col(item).alias("_item"), hashes(F.col(item_text)).alias("h")).filter(F.col("_item").isNotNull() & (F.size("h") > 0)), "decontaminate-items")
     short = sorted(r[0] for r in items.filter(F.size("h").between(SHORTEST, MASKS[0][-1])).select(F.size("h")).distinct().collect())
-    masks = [*MASKS, *[tuple(range(n)) for n in short]]
-    each = _seeds(items.withColumn("_n", F.size("h")), ["_item", "_n"], masks)
-    for k, n in enumerate(short):
-        each = each.filter((F.col("_n") == n) | (F.col("_mask") != len(MASKS) + k))
-    theirs = store(each.drop("_mask").withColumnRenamed("pos", "_ipos").distinct(), "decontaminate-seeds")
+    theirs = store(_seeds(items.withColumn("_n", F.size("h")), ["_item", "_n"], short, True).withColumnRenamed("pos", "_ipos").distinct(), "decontaminate-seeds")
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter(F.col("_doc").isNotNull() & F.col("_text").isNotNull())
-    ours = _seeds(texts.select("_doc", hashes(F.col("_text")).alias("h")), ["_doc"], masks).drop("_mask")
+    ours = _seeds(texts.select("_doc", hashes(F.col("_text")).alias("h")), ["_doc"], short, False)
     diagonals = ours.join(_if_small(theirs, F.lit(4)), "seed").select("_doc", "_item", "_n", (F.col("pos") - F.col("_ipos")).alias("_diagonal")).distinct()
     hits = store(diagonals, "decontaminate-hits")
     # Each candidate meets its document's tokens, made anew for candidates only, and its item's.

@@ -176,9 +176,9 @@ def _between_blocks(masks: DataFrame, parallel: int) -> DataFrame:
     """(anchor, passage, mask) of windows that stand first in their block and earlier in another one."""
     each = masks.filter("w is not null").select(*DOC_NAMES, "s0", "anchor", "passage", "mask", "w", F.explode(F.sequence(F.lit(0), (F.octet_length("w") / 8 - WINDOW).cast("int"))).alias("j")).filter("(shiftright(mask, j) & 1) = 0")
     own = F.substring(F.col("w"), 8 * F.col("j") + 1, F.lit(8 * WINDOW))
-    windows = store(each.select(*DOC_NAMES, (F.col("s0") + F.col("j")).alias("s0"), "anchor", "passage", "j", own.alias("w")).withColumn("v", F.xxhash64("w")), "substring-first")
-    twice = windows.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-    windows = store(windows.join(twice, "v"), "substring-again")
+    windows = each.select(*DOC_NAMES, (F.col("s0") + F.col("j")).alias("s0"), "anchor", "passage", "j", own.alias("w")).withColumn("v", F.xxhash64("w"))
+    twice = _freed(windows.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v"), "substring-first")
+    windows = _freed(windows.join(twice, "v"), "substring-again")
     # A window is a passage of its own here; it is told by its anchor, passage and start.
     shards = max(parallel, -(-windows.count() // SHARD_PASSAGES))
     late = _masks(windows.select(*DOC_NAMES, "s0", "anchor", "passage", F.lit(1).alias("blocks"), "w", "v"), shards, "v").filter("mask != 0")
