@@ -75,22 +75,35 @@ def not_in(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> Data
     """NOT IN: a row stays only if it surely differs from every right row; a NULL may equal anything.
 
     One column is Spark's own null-aware plan in the form of counts and an anti join, so that the
-    right side needs no broadcast. For several columns each position with NULLs is settled apart.
+    right side needs no broadcast. Several columns: rows are told apart by which of their keys are
+    NULL, and each such pattern of the left side meets each of the right side in an anti join on the
+    keys that both have; only patterns that occur are planned, nearly always one.
     """
     names = [f"_s{k}" for k in range(len(on))]
     r = right.select(*[F.col(y).alias(n) for n, (_, y) in zip(names, on, strict=True)]).distinct()
     if len(on) > 1:
-        may = None
-        for n, (x, _) in zip(names, on, strict=True):
-            same = F.col(x).isNull() | F.col(n).isNull() | (F.col(x) == F.col(n))
-            may = same if may is None else may & same
-        return left.join(r, may, "left_anti")
+        return _not_in_several(left, r, [x for x, _ in on], names)
     x = on[0][0]
     facts = r.agg(F.count("*").alias("_all"), F.count("_s0").alias("_known"))
     out = left.join(r.filter("_s0 is not null"), F.col(x) == F.col("_s0"), "left_anti").crossJoin(F.broadcast(facts))  # one row
     return out.filter((F.col("_all") == 0) | ((F.col("_all") == F.col("_known")) & F.col(x).isNotNull())).select(*left.columns)
 
 
+def _not_in_several(left: DataFrame, r: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    nulls = lambda columns: F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    patterns = lambda df, columns: sorted(row[0] for row in df.select(nulls(columns)).distinct().collect())  # 2 ** columns at most
+    theirs = patterns(r, names)
+    out = None
+    for mine in patterns(left, keys):
+        rows = left.filter(nulls(keys) == mine)
+        for other in theirs:
+            both = [k for k in range(len(keys)) if mine[k] == other[k] == "1"]
+            side = r.filter(nulls(names) == other).select(*[names[k] for k in both]).distinct()
+            rows = rows.join(side, [F.col(keys[k]) == F.col(names[k]) for k in both], "left_anti") if both else rows.limit(0)
+        out = rows if out is None else out.unionByName(rows)
+    return left.limit(0) if out is None else out
+
+
 def scalar_filter(df: DataFrame, column: str, op: str, scalar: DataFrame) -> DataFrame:
     """Rows whose column compares true with the one value of an aggregate; none if it is NULL."""
     if len(scalar.columns) != 1:

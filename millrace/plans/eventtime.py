@@ -198,62 +198,32 @@ def ml_predict_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTORS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+# Queries are all vectors whose id is divisible by 100, against all vectors.
 for _metric, _f, _dir in (("cosine", "list_cosine_similarity(q.v, c.v)", "DESC"), ("dot", "list_inner_product(q.v, c.v)", "DESC"), ("l2", "list_distance(q.v, c.v) ** 2", "ASC")):
 
     @query(
         f"vector_{_metric}",
         f"""
-        SELECT query_id, vec_id, round(score, 6) AS score FROM (
-          SELECT q.vec_id AS query_id, c.vec_id, {_f} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_f} {_dir}, c.vec_id) AS rn
-          FROM {VECTORS} q, {VECTORS} c WHERE q.vec_id < 20) WHERE rn <= 5
-        """,
-    )
-    def _vector(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
-        e = t(spark, sf_dir, "embeddings")
-        q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-        return vector.search(q, "query_id", "qv", e.select("vec_id", "embedding"), "vec_id", "embedding", 5, metric).select("query_id", "vec_id", F.round("score", 6).alias("score"))
-
-
-@query(
-    "vector_filter_eq",
-    f"""
-    SELECT query_id, vec_id, round(score, 6) AS score FROM (
-      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rn
-      FROM {VECTORS} q, {VECTORS} c WHERE q.vec_id < 20 AND (q.vec_id % 2 = 0 OR q.label = c.label)) WHERE rn <= 3
-    """,
-)
-def vector_filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.when(F.col("vec_id") % 2 == 1, F.col("label")).alias("ql"))
-    return vector.search(q, "query_id", "qv", e, "vec_id", "embedding", 3, "dot", [("ql", "label")]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
-
-
-# The query set of the searches above is fixed by their SQL; these take every vector whose id is divisible by 100, at any table size.
-for _metric, _f, _dir in (("cosine", "list_cosine_similarity(q.v, c.v)", "DESC"), ("dot", "list_inner_product(q.v, c.v)", "DESC"), ("l2", "list_distance(q.v, c.v) ** 2", "ASC")):
-
-    @query(
-        f"vector_{_metric}_hundreds",
-        f"""
         SELECT query_id, vec_id, round(score, 6) AS score FROM (
           SELECT q.vec_id AS query_id, c.vec_id, {_f} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_f} {_dir}, c.vec_id) AS rn
           FROM {VECTORS} q, {VECTORS} c WHERE q.vec_id % 100 = 0) WHERE rn <= 5
         """,
     )
-    def _vector_hundreds(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
+    def _vector(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
         e = t(spark, sf_dir, "embeddings")
         q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
         return vector.search(q, "query_id", "qv", e.select("vec_id", "embedding"), "vec_id", "embedding", 5, metric).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(
-    "vector_filter_eq_hundreds",
+    "vector_filter_eq",
     f"""
     SELECT query_id, vec_id, round(score, 6) AS score FROM (
       SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rn
       FROM {VECTORS} q, {VECTORS} c WHERE q.vec_id % 100 = 0 AND (q.vec_id % 200 = 0 OR q.label = c.label)) WHERE rn <= 3
     """,
 )
-def vector_filter_eq_hundreds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.when(F.col("vec_id") % 200 != 0, F.col("label")).alias("ql"))
     return vector.search(q, "query_id", "qv", e, "vec_id", "embedding", 3, "dot", [("ql", "label")]).select("query_id", "vec_id", F.round("score", 6).alias("score"))

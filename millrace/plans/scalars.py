@@ -76,9 +76,9 @@ def fn_string_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("fn_text_unicode", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS chars, upper(left(text, 20)) AS up FROM documents WHERE lang = 'en'")
+@query("fn_text_unicode", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS chars, md5(reverse(text)) AS back FROM documents")
 def fn_text_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", S.byte_length("text").cast("bigint").alias("bytes"), F.length("text").cast("bigint").alias("chars"), F.upper(F.left("text", F.lit(20))).alias("up"))
+    return t(spark, sf_dir, "documents").select("doc_id", S.byte_length("text").cast("bigint").alias("bytes"), F.length("text").cast("bigint").alias("chars"), F.md5(F.reverse("text").cast("binary")).alias("back"))
 
 
 @query(

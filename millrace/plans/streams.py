@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from millrace.operators import cep, windows
 from millrace.plans.eventtime import CENTS, MS, SESSIONS
 from millrace.plans.registry import query
+from millrace.storage import new_path
 from millrace.streaming import runtime, stateful
 
 
+#: Files that a table of events is cut into, in order of time; each is a batch of a stream.
+FILES = 4
+
+
 def stream(spark: SparkSession, sf_dir: str, lag_ms: int = 0) -> DataFrame:
-    return runtime.with_event_time(runtime.read_files(spark, f"{sf_dir}/events.parquet"), "ts", lag_ms)
+    """All events as a stream of FILES batches: state and watermark go from one to the next."""
+    path, events = new_path(spark, "events"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    least, most = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    step = ((most or 0) - (least or 0)) // FILES + 1
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(least or 0)) / step)
+    for k in range(FILES):  # files are read by their time of writing
+        events.filter(F.coalesce(part, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(path)
+    return runtime.with_event_time(runtime.read_files(spark, path, events.schema, 1), "ts", lag_ms)
 
 
 def cents(df: DataFrame) -> DataFrame:
@@ -36,9 +48,10 @@ def stream_session_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_group_running", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
 def stream_group_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runtime.drain(stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("event_id").alias("a")), "update", ["event_type"]).join(
-        spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.countDistinct("event_id").alias("ids")), "event_type"
-    ).select("event_type", "n", "ids")
+    """Counts are kept by group; distinct ids by group and id, so that no group's ids are one state value."""
+    n = runtime.drain(stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")), "update", ["event_type"])
+    ids = runtime.drain(stream(spark, sf_dir).groupBy("event_type", "event_id").agg(F.count("*").alias("times")), "update", ["event_type", "event_id"])
+    return n.join(ids.groupBy("event_type").agg(F.count("event_id").alias("ids")), "event_type").select("event_type", "n", "ids")
 
 
 @query("stream_dedupe_final", "SELECT DISTINCT user_id, event_type FROM events")
@@ -89,8 +102,6 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_upsert_final", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_upsert_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.storage import new_path
-
     path = new_path(spark, "upserted")
     rows = stream(spark, sf_dir).select("user_id", "event_type", "event_id")
     runtime.start(rows, runtime.upsert_into(path, ["user_id"], ["event_id"]), "append").awaitTermination()

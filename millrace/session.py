@@ -78,19 +78,28 @@ class Engine:
         replace = bool(re.match(r"CREATE\s+OR\s+REPLACE", text, re.I))
         if m := re.match(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s*\(", text, re.I):
             end = dialect.closing(text, m.end() - 1)
-            columns, key = [], []
+            if re.match(r"CREATE\s+TABLE\s+IF\b", text, re.I) and self.catalog.find("table", m[1]):
+                return Result(sql, message=f"table {m[1]} exists")
+            columns, key, given = [], [], {}
             for part in split_top(held.back(text[m.end() : end])):
-                if k := re.match(r"\s*PRIMARY\s+KEY\s*\(([^)]*)\)", part, re.I):
+                if k := re.match(r"\s*(?:CONSTRAINT\s+\w+\s+)?PRIMARY\s+KEY\s*\(([^)]*)\)", part, re.I):
                     key += [c.strip() for c in k[1].split(",")]
                     continue
-                if re.match(r"\s*(WATERMARK\s+FOR|CONSTRAINT)\b", part, re.I):
+                if k := re.fullmatch(r"\s*WATERMARK\s+FOR\s+(\w+)\s+AS\s+\1\s*(?:-\s*(INTERVAL\s+.+?))?\s*", part, re.I | re.S):
+                    given = {"event_time_column": k[1], "watermark_lag_ms": str(dialect.millis(k[2], dialect.Held("")) if k[2] else 0)}
                     continue
+                if re.match(r"\s*(WATERMARK\s+FOR|CONSTRAINT|CHECK|UNIQUE|FOREIGN\s+KEY)\b", part, re.I):
+                    raise Refused(f"not supported in a table: {part.strip()}")
                 name, kind = part.strip().split(None, 1)
                 if re.search(r"\bPRIMARY\s+KEY\b", kind, re.I):
                     key.append(name)
                 columns.append((name, re.sub(r"\s+(NOT\s+NULL|PRIMARY\s+KEY(\s+NOT\s+ENFORCED)?)", "", kind, flags=re.I).strip()))
             w = re.search(r"\bWITH\s*\((.*)\)\s*$", held.back(text[end + 1 :]), re.I | re.S)
-            self.catalog.add("table", Table(m[1], columns, dialect.options(w[1]) if w else {}, key))
+            options = given | (dialect.options(w[1]) if w else {})
+            key = key or [c.strip() for c in options.get("primary_key", "").split(",") if c.strip()]
+            if unknown := {*key, *given.values()} - {n for n, _ in columns} - {given.get("watermark_lag_ms")}:
+                raise Refused(f"table {m[1]} has no column {', '.join(sorted(unknown))}")
+            self.catalog.add("table", Table(m[1], columns, options, key))
             return Result(sql, message=f"table {m[1]}")
         if m := re.match(r"CREATE\s+(?:OR\s+REPLACE\s+)?(MATERIALIZED\s+)?VIEW\s+(\w+)\s*(?:\(([^)]*)\)\s*)?(?:WITH\s*\(([^()]*)\)\s*)?AS\s+", text, re.I):
             body = held.back(text[m.end() :])

@@ -86,6 +86,11 @@ def read(spark: SparkSession, table: Table, streaming: bool = False) -> DataFram
             raise Refused(f"connector {connector} needs its jar on the class path")
         if form == "text" and len(schema) != 1:
             raise Refused(f"a text table has one column: {table.name}")
+        if o.get("mode") == "upsert":
+            if streaming:
+                raise Refused(f"an upserted table can't be read as a stream: {table.name}")
+            newest = runtime.current(spark, place(table))
+            return spark.createDataFrame([], schema) if newest is None else newest.select(*[n for n, _ in table.columns])
         if streaming:
             return runtime.read_files(spark, place(table), schema, int(o.get("max_files_per_trigger", "0")) or None, form)
         out = spark.read.schema(schema).format(form).load(place(table))

@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.errors import Refused
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where the session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise Refused("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = getattr(spark, "_millrace_shared", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark._millrace_shared = named
     return named.rstrip("/")

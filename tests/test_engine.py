@@ -248,3 +248,37 @@ def test_streams_and_their_state(engine, tmp_path, sf_dir):
 def test_joins_name_columns_by_alias(engine):
     df = engine.query("SELECT * FROM ev a JOIN ev b ON a.event_id = b.event_id")
     assert df.columns[:2] == ["a_event_id", "a_ts"] and "b_event_type" in df.columns
+
+
+@pytest.mark.parametrize("sql", ["SELECT uuid, following, random, now FROM t", "SELECT t.uuid FROM t WHERE following > 1", "SELECT * FROM t JOIN u ON t.k = u.k AND t.v <= u.v", "SELECT k, v FROM t WHERE k IN (1, 2)", "SELECT a.k, b.v FROM t a LEFT JOIN u b ON a.k = b.k WHERE a.v < 2"])
+def test_words_and_joins_that_are_not_refused(sql):
+    dialect.refuse(sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT * FROM t JOIN u ON t.k < u.k", "SELECT * FROM t LEFT JOIN u ON t.k <> u.k WHERE t.k = 1", "SELECT * FROM t a, u b", "SELECT * FROM t, u WHERE t.k = u.k", "SELECT sum(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) FROM t", "SELECT uuid() FROM t", "SELECT current_date FROM t"])
+def test_joins_and_calls_that_are_refused(sql):
+    with pytest.raises(Refused):
+        dialect.refuse(sql)
+
+
+def test_create_table_if_not_exists_watermark_and_keys(engine):
+    engine.run_script("CREATE TABLE IF NOT EXISTS ev (x BIGINT) WITH (connector='blackhole')")
+    assert [n for n, _ in engine.catalog.get("table", "ev").columns][0] == "event_id"
+    with pytest.raises(Refused):
+        engine.run_script("CREATE TABLE ev (x BIGINT) WITH (connector='blackhole')")
+    engine.run_script("CREATE TABLE marked (k BIGINT, ts TIMESTAMP, WATERMARK FOR ts AS ts - INTERVAL '5' SECOND, CONSTRAINT pk PRIMARY KEY (k)) WITH (connector='blackhole')")
+    made = engine.catalog.get("table", "marked")
+    assert (made.options["event_time_column"], made.options["watermark_lag_ms"], made.primary_key) == ("ts", "5000", ["k"])
+    engine.run_script("CREATE TABLE keyed (k BIGINT, v BIGINT) WITH (connector='blackhole', primary_key='k')")
+    assert engine.catalog.get("table", "keyed").primary_key == ["k"]
+    for bad in ("WATERMARK FOR none AS none", "CONSTRAINT c CHECK (k > 0)", "WATERMARK FOR ts AS f(ts)"):
+        with pytest.raises(Refused):
+            engine.run_script(f"CREATE TABLE bad (k BIGINT, ts TIMESTAMP, {bad}) WITH (connector='blackhole')")
+
+
+def test_an_upserted_table_gives_its_newest_rows(engine, tmp_path):
+    engine.run_script(f"CREATE TABLE up (k BIGINT, v BIGINT, PRIMARY KEY (k)) WITH (connector='file', format='json', path='file://{tmp_path}/up', mode='upsert')")
+    assert rows(engine, "SELECT * FROM up") == []
+    engine.run_script("INSERT INTO up SELECT k, v FROM VALUES (1L, 10L), (2L, 20L) AS x(k, v)")
+    engine.run_script("INSERT INTO up SELECT k, v FROM VALUES (2L, 21L), (3L, 30L) AS x(k, v)")
+    assert sorted(rows(engine, "SELECT * FROM up")) == [(1, 10), (2, 21), (3, 30)]

@@ -216,12 +216,24 @@ def test_upserts_survive_a_repeated_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", ["cosine", "dot", "l2", "filter_eq"])
 def test_registered_searches_take_every_hundredth_vector(spark, name):
     sf = "/root/testdata/sf0.1"
-    got = catalogue.queries()[f"vector_{name}_hundreds"](spark, sf).select("query_id").distinct().collect()
+    got = catalogue.queries()[f"vector_{name}"](spark, sf).select("query_id").distinct().collect()
     assert {r[0] for r in got} == {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").select("vec_id").collect()}
 
 
 def test_registered_joins_keep_all_rows_of_both_tables(spark, sf_dir):
-    rows = catalogue.queries()["join_full_whole"](spark, sf_dir).select("c_c_custkey", "o_o_orderkey").collect()
+    rows = catalogue.queries()["join_full"](spark, sf_dir).select("c_c_custkey", "o_o_orderkey").collect()
     for k, table, key in ((0, "customer", "c_custkey"), (1, "orders", "o_orderkey")):
         assert {r[k] for r in rows} - {None} == {r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect()}
     assert any(r[0] is None for r in rows) and any(r[1] is None for r in rows)
+
+
+def test_not_in_of_several_columns_against_brute_force(spark):
+    from itertools import product
+
+    values = [None, 1, 2]
+    left = list(product(values, values))
+    for right in ([], [(1, 2)], [(None, 2), (1, 1)], [(1, None)], [(None, None)], [(2, 2), (None, 1), (2, None)]):
+        may = lambda a, b: a is None or b is None or a == b
+        want = [x for x in left if not any(all(may(a, b) for a, b in zip(x, y, strict=True)) for y in right)]
+        got = joins.not_in(spark.createDataFrame(left, "a int, b int"), spark.createDataFrame(right, "c int, d int"), [("a", "c"), ("b", "d")]).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str), right

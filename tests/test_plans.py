@@ -40,3 +40,11 @@ def test_interval_joins_are_equality_joins(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("stream", "iterate"))))
 def test_no_cartesian_products(spark, sf_dir, name):
     assert "CartesianProduct" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_not_in_of_several_columns_is_no_nested_loop(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "NestedLoop" not in plan(QUERIES["anti_not_in_pairs"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
