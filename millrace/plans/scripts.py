@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.plans.eventtime import MS, SESSIONS, TOTAL
 from millrace.plans.registry import query
 from millrace.session import Engine
+from millrace.storage import new_path
 
 # The columns of the tables that the scripts declare.
 TABLES = {
@@ -49,3 +50,18 @@ script("match", "SELECT * FROM events MATCH_RECOGNIZE (PARTITION BY user_id ORDE
 script("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) AND o_orderstatus IN ('F')", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) AND o_orderstatus IN ('F')")
 script("exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 script("materialized_view", "SELECT event_type, n FROM kinds", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", "CREATE MATERIALIZED VIEW kinds AS SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+script("arithmetic", "SELECT o_orderkey, o_orderkey * 9000000000000000 + 1 AS big, o_orderkey % (o_custkey % 3) AS r, o_orderkey DIV (o_custkey % 2) AS q, o_totalprice / (o_custkey % 2) AS f FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey::HUGEINT * 9000000000000000 + 1 <= 9223372036854775807 THEN (o_orderkey::HUGEINT * 9000000000000000 + 1)::BIGINT END AS big, o_orderkey % nullif(o_custkey % 3, 0) AS r, o_orderkey // nullif(o_custkey % 2, 0) AS q, o_totalprice / nullif(o_custkey % 2, 0) AS f FROM orders")
+
+
+@query("sql_upsert", "SELECT CAST(n_nationkey AS BIGINT) AS k, coalesce(max(c_custkey), min(n_regionkey)) AS v FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def sql_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed table after two inserts: a nation's largest customer takes the place of its region."""
+    e = engine(spark, sf_dir)
+    e.run_script(
+        f"""
+        CREATE TABLE latest (k BIGINT PRIMARY KEY, v BIGINT) WITH (connector='parquet', mode='upsert', path='{new_path(spark, "latest")}');
+        INSERT INTO latest SELECT CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation;
+        INSERT INTO latest SELECT CAST(c_nationkey AS BIGINT), max(c_custkey) FROM customer GROUP BY c_nationkey;
+        """
+    )
+    return e.query("SELECT k, v FROM latest")

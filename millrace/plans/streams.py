@@ -106,3 +106,13 @@ def stream_upsert_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream(spark, sf_dir).select("user_id", "event_type", "event_id")
     runtime.start(rows, runtime.upsert_into(path, ["user_id"], ["event_id"]), "append").awaitTermination()
     return runtime.current(spark, path).select("user_id", "event_type", "event_id")
+
+
+@query("stream_exactly_once", "SELECT event_id, user_id, event_type FROM events")
+def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written by a stream that is started again from its checkpoint, as a restart after a failure does."""
+    path, checkpoint = new_path(spark, "once"), new_path(spark, "once-checkpoint")
+    rows = stream(spark, sf_dir).select("event_id", "user_id", "event_type")
+    for _ in range(2):
+        runtime.start_files(rows, path, "parquet", checkpoint).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)

@@ -257,8 +257,10 @@ class Engine:
 
     # Streams
 
-    def stream(self, sql: str, checkpoint: str | None = None):
-        """Run an INSERT as a stream over what is available now; a query handle.
+    def stream(self, sql: str, checkpoint: str | None = None, every: str | None = None):
+        """Run an INSERT as a stream over what is available now, or until stopped if `every` names an interval; a query handle.
+
+        A file sink with `delivery` = 'exactly_once' takes each batch once, also after a restart from the checkpoint.
 
         Tables with `unbounded` = 'true' are read as streams, with the watermark of their
         `event_time_column` and `watermark_lag_ms`. State that only grows is refused, unless the
@@ -280,7 +282,15 @@ class Engine:
         names = [n for n, _ in table.columns]
         keeps = bool(re.search(r"\bGROUP\s+BY\b", dialect.Held(body).text, re.I))
         mode = table.options.get("output", "update" if keeps and table.primary_key else "append")
-        return runtime.start(rows.toDF(*names), lambda batch, number: connectors.write(batch, table, table.options.get("mode", "append")), mode, checkpoint)
+        rows, write_mode, delivery = rows.toDF(*names), table.options.get("mode", "append"), table.options.get("delivery")
+        connectors.check_sink(table, write_mode, delivery)
+        if delivery == "exactly_once":
+            if table.options["connector"] not in connectors.FILES or write_mode != "append" or mode != "append":
+                raise Refused(f"a stream is written exactly once to files, in append mode: {table.name}")
+            if not checkpoint:
+                raise Refused("exactly-once needs a checkpoint")
+            return runtime.start_files(rows, connectors.place(table), connectors.file_format(table), checkpoint, every, connectors.partitions(table), connectors.file_options(table))
+        return runtime.start(rows, lambda batch, number: connectors.write(batch, table, write_mode), mode, checkpoint, every)
 
     # Queries
 

@@ -187,6 +187,25 @@ def bulk_body(kind: str, rows: list[dict], options: dict[str, str]) -> bytes:
     return line(rows).encode()
 
 
+def partitions(table: Table) -> list[str]:
+    return [c.strip() for c in table.options.get("partition_by", "").split(",") if c.strip()]
+
+
+def file_options(table: Table) -> dict[str, str]:
+    return {"compression": table.options.get("compression", "zstd")} if file_format(table) == "parquet" else {}
+
+
+def _send(df: DataFrame, handler: Callable, options: dict[str, str]) -> None:
+    """Hand the rows of each task to a client's handler."""
+
+    def send(batches: Iterator) -> Iterator:
+        for b in batches:
+            handler(options, iter(b.to_dict("records")))
+            yield b.iloc[:0]
+
+    df.mapInPandas(send, df.schema).write.format("noop").mode("overwrite").save()
+
+
 def write(df: DataFrame, table: Table, mode: str = "append", delivery: str | None = None) -> DataFrame | None:
     """Write a bounded DataFrame; `collect` and `changelog` tables give their rows back."""
     o, connector = table.options, table.options.get("connector", "")
@@ -209,18 +228,22 @@ def write(df: DataFrame, table: Table, mode: str = "append", delivery: str | Non
             both = rows if before is None else rows.unionByName(before.withColumns({setops.ROW_KIND: F.lit("insert"), "_new": F.lit(0)}))
             setops.upserts(both, table.primary_key, ["_new"]).drop("_new").write.mode("overwrite").parquet(f"{place(table)}/version={number}")
             return None
-        writer = df.write.format(form).mode("overwrite" if mode == "overwrite" else "append")
-        if form == "parquet":
-            writer = writer.option("compression", o.get("compression", "zstd"))
-        if "partition_by" in o:
+        if runtime.has_log(df.sparkSession, place(table)):
+            raise Refused(f"a stream writes {table.name} exactly once; readers would not see other rows")
+        writer = df.write.format(form).mode("overwrite" if mode == "overwrite" else "append").options(**file_options(table))
+        if partitions(table):
             if mode == "overwrite":
                 writer = writer.option("partitionOverwriteMode", "dynamic")
-            writer = writer.partitionBy(*[c.strip() for c in o["partition_by"].split(",")])
+            writer = writer.partitionBy(*partitions(table))
         writer.save(place(table))
     elif connector == "kafka":
         value = F.to_json(F.struct(*df.columns)).alias("value")
         key = [F.to_json(F.struct(*table.primary_key)).alias("key")] if table.primary_key else []
         df.select(*key, value).write.format("kafka").options(**kafka_options(o, True)).save()
+    elif connector in JDBC and mode == "upsert":
+        if (connector, "write") not in HANDLERS:
+            raise Refused(f"connector {connector} appends; for upserts register a client with register_client")
+        _send(df, HANDLERS[connector, "write"], o | {"primary_key": ",".join(table.primary_key)})
     elif connector in JDBC:
         df.write.format("jdbc").options(**jdbc_options(o)).mode("append").save()
     elif connector in HTTP_SINKS:
@@ -242,14 +265,7 @@ def write(df: DataFrame, table: Table, mode: str = "append", delivery: str | Non
             raise Refused(f"{connector} can't be written")
         if (connector, "write") not in HANDLERS:
             _client(connector, o, "write")
-        handler = HANDLERS[connector, "write"]
-
-        def send(batches: Iterator) -> Iterator:
-            for b in batches:
-                handler(o, iter(b.to_dict("records")))
-                yield b.iloc[:0]
-
-        df.mapInPandas(send, df.schema).write.format("noop").mode("overwrite").save()
+        _send(df, HANDLERS[connector, "write"], o)
     else:
         raise Refused(f"table {table.name}: connector {connector!r} can't be written")
     return None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.errors import Refused
@@ -32,11 +32,37 @@ def with_event_time(df: DataFrame, ts: str, lag_ms: int = 0, allowed_lateness_ms
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{lag_ms + allowed_lateness_ms} milliseconds")
 
 
-def start(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Process what is available now, batch by batch. A sink is called with each batch's rows and id, again with the same id after a failure."""
+def _started(df: DataFrame, writer: DataStreamWriter, checkpoint: str | None, every: str | None) -> StreamingQuery:
+    """Start with state in RocksDB. A query copies its session's settings when it starts, so the session gets its own back."""
     spark = df.sparkSession
+    before = spark.conf.get(STATE_PROVIDER)
+    writer = writer.option("checkpointLocation", checkpoint or new_path(spark, "stream-checkpoint"))
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
-    return df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint or new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
+
+
+def start(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Process what is available now, or whatever arrives, in batches `every` so often, until stopped.
+
+    A sink is called with each batch's rows and id, again with the same id after a failure.
+    """
+    return _started(df, df.writeStream.foreachBatch(sink).outputMode(mode), checkpoint, every)
+
+
+def start_files(df: DataFrame, path: str, form: str, checkpoint: str, every: str | None = None, partition_by: list[str] | None = None, options: dict[str, str] | None = None) -> StreamingQuery:
+    """Append to files exactly once: a log next to them names each batch's files, and readers go by the log."""
+    writer = df.writeStream.format(form).outputMode("append").option("path", path).options(**(options or {}))
+    return _started(df, writer.partitionBy(*partition_by) if partition_by else writer, checkpoint, every)
+
+
+def has_log(spark: SparkSession, path: str) -> bool:
+    """Whether a stream keeps the log of a folder's files."""
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_spark_metadata")
+    return log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log)
 
 
 def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:

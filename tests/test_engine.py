@@ -282,3 +282,77 @@ def test_an_upserted_table_gives_its_newest_rows(engine, tmp_path):
     engine.run_script("INSERT INTO up SELECT k, v FROM VALUES (1L, 10L), (2L, 20L) AS x(k, v)")
     engine.run_script("INSERT INTO up SELECT k, v FROM VALUES (2L, 21L), (3L, 30L) AS x(k, v)")
     assert sorted(rows(engine, "SELECT * FROM up")) == [(1, 10), (2, 21), (3, 30)]
+
+
+def test_arithmetic_gives_null_where_it_does_not_fit(engine):
+    engine.execute("CREATE VIEW n AS SELECT a, b, d, ts FROM VALUES (9223372036854775807L, 0L, 1.5D, TIMESTAMP '2024-01-01 00:00:10'), (7L, 2L, NULL, NULL) AS x(a, b, d, ts)")
+    got = rows(engine, "SELECT a + 1 AS p, a * 2 AS m, a - -1 AS s, a % b AS r, a DIV b AS q, a / b AS f, d * 2 - 1 AS d, CASE WHEN b = 2 THEN a * b + 1 END AS c FROM n")
+    assert sorted(got, key=str) == sorted([(None, None, None, None, None, None, 2.0, None), (8, 14, 8, 1, 3, 3.5, None, 15)], key=str)
+    assert rows(engine, "SELECT 20 - 2 * 3 - 4 + 10 % 4 * 2 AS x, -(2 + 3) * 2 AS y, 'a' || 'b' AS z FROM n WHERE a - 7 = 0") == [(14, -10, "ab")]
+    assert str(rows(engine, "SELECT ts - INTERVAL '5' SECOND AS t FROM n WHERE b = 0")[0][0]) == "2024-01-01 00:00:05"
+    assert rows(engine, "SELECT b + 1 AS k, count(*) * 2 AS n FROM n WHERE a > b * 1 GROUP BY b + 1 HAVING count(*) + 1 > 1 ORDER BY k LIMIT 5") == [(1, 2), (3, 2)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SELECT t.*, count(*) FROM t", "SELECT t.*, count(*) FROM t"),
+        ("a - b * c + d", "try_add(try_subtract(a, try_multiply(b, c)), d)"),
+        ("transform(a, x -> x + 1)", "transform(a , x -> try_add(x, 1))"),
+        ("a::int - 3", "try_subtract(a::int, 3)"),
+        ("date - 1", "try_subtract(date, 1)"),
+        ("v BETWEEN -1 AND left(s, n - 1)", "v BETWEEN -1 AND left(s , try_subtract(n, 1))"),
+        ("sum(v) OVER (ORDER BY k) / 2", "try_divide(sum(v) OVER (ORDER BY k), 2)"),
+        ("'1 + 1'", "'1 + 1'"),
+    ],
+)
+def test_arithmetic_rewriting(text, want):
+    tight = lambda s: s.replace(" ,", ",")
+    assert tight(dialect.arithmetic(text)) == tight(want)
+
+
+@pytest.mark.parametrize("kind", ["DATE", "TIMESTAMP", "timestamp(3)", "BYTEA"])
+def test_casts_that_are_refused(kind):
+    with pytest.raises(Refused):
+        dialect.refuse(f"SELECT CAST(upper(s) AS {kind}) AS x FROM t")
+    dialect.refuse("SELECT CAST(s AS INT) AS date FROM (SELECT CAST(v AS TEXT) AS timestamp FROM t)")
+
+
+def test_streams_append_exactly_once(engine, tmp_path, sf_dir):
+    from millrace.streaming.runtime import STATE_PROVIDER
+
+    (tmp_path / "in").mkdir()
+    engine.run_script(f"CREATE TABLE live (k BIGINT, v BIGINT) WITH (connector='parquet', path='file://{tmp_path}/in/*', unbounded='true'); CREATE TABLE sink (k BIGINT, v BIGINT) WITH (connector='parquet', path='file://{tmp_path}/o', delivery='exactly_once')")
+    before = engine.spark.conf.get(STATE_PROVIDER)
+    for n in (10, 5):
+        engine.spark.range(n).selectExpr("id AS k", "id AS v").coalesce(1).write.parquet(f"file://{tmp_path}/in/{n}")
+        for _ in range(2):  # a restart from the checkpoint writes nothing twice
+            q = engine.stream("INSERT INTO sink SELECT k, v * 2 FROM live", f"{tmp_path}/c")
+            q.awaitTermination()
+            assert q.exception() is None
+    assert sorted(rows(engine, "SELECT * FROM sink")) == sorted([(k, 2 * k) for k in range(10)] + [(k, 2 * k) for k in range(5)])
+    assert engine.spark.conf.get(STATE_PROVIDER) == before
+    with pytest.raises(Refused):
+        engine.execute("INSERT INTO sink SELECT user_id, event_id FROM ev")
+    with pytest.raises(Refused):
+        engine.stream("INSERT INTO sink SELECT k, v FROM live")
+
+
+def test_a_standing_stream_takes_what_arrives(engine, tmp_path):
+    (tmp_path / "in").mkdir()
+    engine.run_script(f"CREATE TABLE live (k BIGINT) WITH (connector='parquet', path='file://{tmp_path}/in/*', unbounded='true'); CREATE TABLE sink (k BIGINT) WITH (connector='parquet', path='file://{tmp_path}/o')")
+    engine.spark.range(3).selectExpr("id AS k").coalesce(1).write.parquet(f"file://{tmp_path}/in/a")
+    q = engine.stream("INSERT INTO sink SELECT k FROM live", f"{tmp_path}/c", every="200 milliseconds")
+    try:
+        q.processAllAvailable()
+        engine.spark.range(3, 5).selectExpr("id AS k").coalesce(1).write.parquet(f"file://{tmp_path}/in/b")
+        q.processAllAvailable()
+        assert q.isActive and sorted(rows(engine, "SELECT k FROM sink")) == [(k,) for k in range(5)]
+    finally:
+        q.stop()
+
+
+def test_database_upserts_need_a_client(spark):
+    t = Table("t", [("a", "BIGINT")], {"connector": "postgres", "mode": "upsert"}, ["a"])
+    with pytest.raises(Refused):
+        connectors.write(spark.range(1).toDF("a"), t, "upsert")
