@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -118,7 +119,22 @@ def scalar_select(df: DataFrame, name: str, scalar: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalar.select(F.col(scalar.columns[0]).alias(name))))
 
 
-def lookup(df: DataFrame, function: Callable[[dict], dict | None], schema: str, kind: str = "inner", in_flight: int = 64, retries: int = 0) -> DataFrame:
+def patient(function: Callable, retries: int, wait_s: float) -> Callable:
+    """The function, called again after a failure: first after wait_s, then after twice as long each time. The last failure is raised."""
+
+    def call(row: dict):
+        for attempt in range(retries + 1):
+            try:
+                return function(row)
+            except Exception:
+                if attempt == retries:
+                    raise
+                time.sleep(wait_s * 2**attempt)
+
+    return call
+
+
+def lookup(df: DataFrame, function: Callable[[dict], dict | None], schema: str, kind: str = "inner", in_flight: int = 64, retries: int = 0, wait_s: float = 0.1) -> DataFrame:
     """Each row with the columns that a function finds for it (None: nothing found).
 
     Calls of a batch run on a pool of threads; output keeps the input's order. An inner lookup
@@ -130,16 +146,7 @@ def lookup(df: DataFrame, function: Callable[[dict], dict | None], schema: str,
 
     added = StructType.fromDDL(schema)
     spark_schema = StructType([*df.schema.fields, *added.fields])
-    names = [f.name for f in added]
-
-    def call(row: dict) -> dict | None:
-        for left in range(retries, -1, -1):
-            try:
-                return function(row)
-            except Exception:
-                if not left:
-                    raise
-        return None
+    names, call = [f.name for f in added], patient(function, retries, wait_s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(in_flight) as pool:
@@ -154,18 +161,9 @@ def lookup(df: DataFrame, function: Callable[[dict], dict | None], schema: str,
     return df.mapInPandas(run, spark_schema)
 
 
-def async_map(df: DataFrame, function: Callable[[dict], dict], schema: str, in_flight: int = 64, retries: int = 0) -> DataFrame:
+def async_map(df: DataFrame, function: Callable[[dict], dict], schema: str, in_flight: int = 64, retries: int = 0, wait_s: float = 0.1) -> DataFrame:
     """Rows mapped one to one by a function that waits on something; in order, with at most in_flight calls at once."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-
-    def call(row: dict) -> dict:
-        for left in range(retries, -1, -1):
-            try:
-                return function(row)
-            except Exception:
-                if not left:
-                    raise
-        raise AssertionError
+    names, call = [x.strip().split(" ")[0] for x in schema.split(",")], patient(function, retries, wait_s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(in_flight) as pool:

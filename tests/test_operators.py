@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,18 @@ def test_not_in_of_several_columns_against_brute_force(spark):
         want = [x for x in left if not any(all(may(a, b) for a, b in zip(x, y, strict=True)) for y in right)]
         got = joins.not_in(spark.createDataFrame(left, "a int, b int"), spark.createDataFrame(right, "c int, d int"), [("a", "c"), ("b", "d")]).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str), right
+
+
+def test_failed_calls_wait_longer_each_time():
+    times = []
+
+    def fails_twice(row):
+        times.append(time.monotonic())
+        if len(times) < 3:
+            raise OSError
+        return row
+
+    assert joins.patient(fails_twice, 2, 0.05)({"k": 1}) == {"k": 1}
+    assert times[1] - times[0] >= 0.05 and times[2] - times[1] >= 0.1
+    with pytest.raises(OSError):
+        joins.patient(lambda row: (_ for _ in ()).throw(OSError()), 1, 0.01)({})
