@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.errors import Refused
+from millrace.operators.keyed import Row, key_of, run_keyed
+from millrace.operators.setops import ROW_KIND, TAKES
 
 
 def count_all() -> Column:
@@ -94,6 +100,72 @@ def user_aggregate(name: str, *columns: str) -> Column:
     return aggregate_udf(name)(*[F.col(c) for c in columns])
 
 
+class Accumulator(Protocol):
+    """A user-defined aggregate's state. Its attributes, plain data, go between tasks; `take` undoes an `add`, also one of another task."""
+
+    def add(self, *values: Any) -> None: ...
+
+    def take(self, *values: Any) -> None: ...
+
+    def merge(self, other: Accumulator) -> None: ...
+
+    def result(self) -> Any: ...
+
+
+#: Keys whose states a task holds at once; beyond it they go on as partial states, which are merged.
+HELD_KEYS = 10_000
+
+
+def accumulate(df: DataFrame, keys: list[str], make: Callable[[], Accumulator], columns: list[str], name: str, kind: str) -> DataFrame:
+    """A row for each key with the result of its accumulator, which gets the columns' values of each row.
+
+    Tasks accumulate what they read and only states are shuffled, so a hot key costs its last task one state
+    for each task before. Rows of a changelog that take back are taken; keys without rows stay with their result.
+    """
+    named = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    marked = ROW_KIND in df.columns
+    rows = df.select(*keys, F.struct(*columns).alias("_values"), *([ROW_KIND] if marked else []))
+    partial = ", ".join([*named, "_state binary"])
+    arrow = to_arrow_schema(T.StructType.fromDDL(partial))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Row, Accumulator]] = {}
+
+        def states() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{**row, "_state": pickle.dumps(vars(state))} for row, state in held.values()], arrow)
+
+        for b in batches:
+            for r in b.to_pylist():
+                key = key_of(r, keys)
+                if key not in held:
+                    if len(held) == HELD_KEYS:
+                        yield states()
+                        held = {}
+                    held[key] = {k: r[k] for k in keys}, make()
+                state, values = held[key][1], [r["_values"][c] for c in columns]
+                (state.take if marked and r[ROW_KIND] in TAKES else state.add)(*values)
+        if held:
+            yield states()
+
+    class Merge:
+        def __init__(self):
+            self.first, self.state = None, None
+
+        def row(self, row: Row) -> Iterable[Row]:
+            state = make()
+            vars(state).update(pickle.loads(row["_state"]))
+            if self.first is None:
+                self.first, self.state = row, state
+            else:
+                self.state.merge(state)
+            return ()
+
+        def finish(self) -> Iterable[Row]:
+            return ({**{k: self.first[k] for k in keys}, name: self.state.result()},)
+
+    return run_keyed(rows.mapInArrow(part, partial), keys, [], Merge, ", ".join([*named, f"`{name}` {kind}"]))
+
+
 def fold(df: DataFrame, keys: list[str], zero: Column, item: Column, step: Callable[[Column, Column], Column], name: str, order: str) -> DataFrame:
     """Fold each group's items, in order, from `zero`: for folds that no built-in aggregate expresses."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x")))), lambda p: p["x"])

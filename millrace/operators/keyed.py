@@ -12,8 +12,11 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Row = dict[str, Any]
 
@@ -33,34 +36,38 @@ def records(batch: pd.DataFrame) -> Iterator[Row]:
         yield dict(zip(batch.columns, values, strict=True))
 
 
+def key_of(row: Row, keys: list[str]) -> tuple:
+    """A row's key; NaN equals itself there, as it does where Spark groups."""
+    return tuple("NaN" if row[k] != row[k] else row[k] for k in keys)
+
+
 def run_keyed(df: DataFrame, keys: list[str], order: list[Column], make: Callable[[], Program], schema: str, batch: int = 4096) -> DataFrame:
-    """Rows that a fresh program gives for each key, whose rows it gets in order."""
-    names = [f.split()[0].strip("`") for f in _fields(schema)]
+    """Rows that a fresh program gives for each key, whose rows it gets in order.
+
+    Values come as Arrow has them: whole numbers stay whole next to NULLs, and NaN is no NULL.
+    """
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
     ordered = (df.repartition(*[F.col(k) for k in keys]) if keys else df.coalesce(1)).sortWithinPartitions(*keys, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         program, at, out = None, None, []
-
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
-
         for b in batches:
-            for r in records(b):
-                key = tuple(r[k] for k in keys)
+            for r in b.to_pylist():
+                key = key_of(r, keys)
                 if program is None or key != at:
                     if program is not None:
                         out.extend(program.finish())
                     program, at = make(), key
                 out.extend(program.row(r))
                 if len(out) >= batch:
-                    yield frame()
+                    yield pa.RecordBatch.from_pylist(out, kind)
                     out = []
         if program is not None:
             out.extend(program.finish())
         if out:
-            yield frame()
+            yield pa.RecordBatch.from_pylist(out, kind)
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def _fields(schema: str) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import Refused
@@ -58,6 +58,24 @@ def net(df: DataFrame) -> DataFrame:
     return count.select(*rest, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).drop("_i")
 
 
+def retracted(df: DataFrame, keys: list[str], counts: str, sums: dict[str, str] | None = None, least: dict[str, str] | None = None, most: dict[str, str] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
+    """Aggregates of a changelog, as of the rows that it leaves: count, and sum, MIN, MAX and COUNT DISTINCT by name and column.
+
+    Rows are netted by key and values first, in each task and then over all; a key whose rows are all taken back is gone.
+    """
+    sums, least, most, distinct = sums or {}, least or {}, most or {}, distinct or {}
+    columns = list(dict.fromkeys([*sums.values(), *least.values(), *most.values(), *distinct.values()]))
+    if taken := {"_n", counts, *sums, *least, *most, *distinct} & set(keys):
+        raise Refused(f"names of keys: {', '.join(sorted(taken))}")
+    sign = F.when(F.coalesce(ROW_KIND, F.lit("insert")).isin(*TAKES), -1).otherwise(1) if ROW_KIND in df.columns else F.lit(1)
+    left = df.groupBy(*keys, *[c for c in columns if c not in keys]).agg(F.sum(sign).alias("_n")).filter("_n <> 0")
+    here = lambda c: F.when(F.col("_n") > 0, F.col(c))
+    made: list[Column] = [F.sum(F.col("_n") * F.col(c)).alias(n) for n, c in sums.items()]
+    made += [F.min(here(c)).alias(n) for n, c in least.items()] + [F.max(here(c)).alias(n) for n, c in most.items()]
+    made += [F.count_distinct(here(c)).alias(n) for n, c in distinct.items()]
+    return left.groupBy(*keys).agg(F.sum("_n").alias(counts), *made).filter(F.col(counts) > 0)
+
+
 def upserts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last state of each key in a changelog; keys whose last change takes the row back are gone."""
     rest = [c for c in df.columns if c not in keys]

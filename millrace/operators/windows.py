@@ -92,15 +92,25 @@ def session(df: DataFrame, ts: str, gap_ms: int, keys: list[str], *aggregates: C
 
     Without keys all rows are one timeline, which takes a single partition.
     """
+    out = _sessions(df, ts, gap_ms, keys).groupBy(*keys, "_session").agg(F.min("_ms").alias(START), (F.max("_ms") + gap_ms).alias(END), *aggregates)
+    return out.drop("_session")
+
+
+def _sessions(df: DataFrame, ts: str, gap_ms: int, keys: list[str]) -> DataFrame:
     if gap_ms <= 0:
         raise Refused("a session's gap is positive")
     _free(df)
     rows = df.withColumn("_ms", epoch_ms(F.col(ts)))
     w = Window.partitionBy(*keys).orderBy("_ms") if keys else Window.partitionBy(F.lit(1)).orderBy("_ms")
     new = F.when(F.col("_ms") - F.lag("_ms").over(w) < gap_ms, 0).otherwise(1)
-    numbered = rows.withColumn("_new", new).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy(*keys, "_session").agg(F.min("_ms").alias(START), (F.max("_ms") + gap_ms).alias(END), *aggregates)
-    return out.drop("_session")
+    return rows.withColumn("_new", new).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def session_rows(df: DataFrame, ts: str, gap_ms: int, keys: list[str]) -> DataFrame:
+    """Rows with the bounds of their batch session, for aggregates of any kind, such as accumulators."""
+    w = Window.partitionBy(*keys, "_session")
+    bounds = _sessions(df, ts, gap_ms, keys).withColumn(START, F.min("_ms").over(w)).withColumn(END, F.max("_ms").over(w) + gap_ms)
+    return bounds.drop("_ms", "_new", "_session")
 
 
 def session_merging(df: DataFrame, ts: str, gap_ms: int, keys: list[str], *aggregates: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import aggregates as A
 from millrace.operators import cep, keyed, ml, ranking, vector, windows
 from millrace.operators.dataflow import Stream
 from millrace.plans.registry import query
@@ -53,6 +54,26 @@ def win_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.session(events(spark, sf_dir), "ts", 1_800_000, ["user_id"], F.count("*").alias("n"))
 
 
+@query("win_session_accumulated", f"SELECT user_id, window_start, window_end, n * 2 AS twice FROM ({SESSIONS})")
+def win_session_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    class Twice:
+        """Accumulator of twice the count of rows."""
+
+        n = 0
+
+        def add(self, v):
+            self.n += 2
+
+        def merge(self, other):
+            self.n += other.n
+
+        def result(self):
+            return self.n
+
+    rows = windows.session_rows(events(spark, sf_dir).select("event_id", "user_id", "ts"), "ts", 1_800_000, ["user_id"])
+    return A.accumulate(rows, ["user_id", windows.START, windows.END], Twice, ["event_id"], "twice", "bigint")
+
+
 @query("win_session_merging", SESSIONS.replace("< 1800000", "<= 1800000"))
 def win_session_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.session_merging(events(spark, sf_dir), "ts", 1_800_000, ["user_id"], F.count("*").alias("n"))
@@ -135,7 +156,17 @@ def last_n_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.last_n(_cents(spark, sf_dir), "user_id", ["event_id"], 10, a=F.round(F.avg("v"), 4), s=F.sum("v"), n=F.count("*"))
 
 
-@query("match_v_shape")
+# Rows as letters with their ids, D where the value falls and U where it rises, so that a regular expression finds what the pattern does.
+V_SHAPES = f"""
+    WITH c AS (SELECT * FROM {CENTS}), d AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM c),
+    s AS (SELECT user_id, string_agg(CASE WHEN v < p THEN 'D' WHEN v > p THEN 'U' ELSE 'E' END || event_id || ';', '' ORDER BY event_id) AS rows FROM d GROUP BY user_id),
+    m AS (SELECT user_id, string_split(unnest(regexp_extract_all(rows, '[DUE][0-9]+;(?:D[0-9]+;)+U[0-9]+;')), ';') AS e FROM s)
+    SELECT m.user_id, a.v AS start_v, b.v AS bottom, CAST(e[-2][2:] AS BIGINT) AS last_id
+    FROM m JOIN c a ON a.event_id = CAST(e[1][2:] AS BIGINT) JOIN c b ON b.event_id = CAST(e[-3][2:] AS BIGINT)
+"""
+
+
+@query("match_v_shape", V_SHAPES)
 def match_v_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cents(spark, sf_dir)
     v = cep.prev("v", ["user_id"], "event_id")
@@ -182,7 +213,7 @@ def reduce_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Stream(rows).key_by("user_id").reduce(lambda a, b: a if a["v"] >= b["v"] else b, [F.col("event_id")]).df.select("user_id", "v")
 
 
-@query("iterate_halving")
+@query("iterate_halving", "WITH RECURSIVE r AS (SELECT event_id, event_id AS x, 0 AS n FROM events UNION ALL SELECT event_id, x // 2, n + 1 FROM r WHERE x > 0 AND x % 2 = 0) SELECT event_id, x, n FROM r WHERE NOT (x > 0 AND x % 2 = 0)")
 def iterate_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", F.col("event_id").alias("x"), F.lit(0).alias("n"))
     even = lambda: (F.col("x") > 0) & (F.col("x") % 2 == 0)

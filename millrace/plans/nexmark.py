@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
-from millrace.operators import joins, ranking, windows
+from millrace.operators import joins, ranking, setops, windows
 from millrace.plans.registry import query
 from millrace.sources.nexmark import DERIVED, derived
 
@@ -190,9 +190,19 @@ def qcum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.cumulate_sums(_ts(bids(spark, sf_dir)), "ts", HOUR, 6 * HOUR, ["auction"], "n", {})
 
 
-@query("nexmark_generator")
+@query(
+    "nexmark_generator",
+    """
+    SELECT kind, count(*) AS n, min(ms) AS first_at, max(ms) AS last_at
+    FROM (SELECT CASE WHEN i % 50 < 1 THEN 'person' WHEN i % 50 < 4 THEN 'auction' ELSE 'bid' END AS kind, 1436918400000 + i AS ms
+          FROM (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS i))
+    GROUP BY kind
+    """,
+)
 def generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.sources.nexmark import generate
 
-    made = generate(spark, 5_000)
-    return made["bid"].groupBy("channel").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+    """As many events as there are line items, a millisecond apart."""
+    made = generate(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+    rows = [made[kind].select(F.lit(kind).alias("kind"), "datetime") for kind in ("person", "auction", "bid")]
+    return setops.union_all(*rows).groupBy("kind").agg(F.count("*").alias("n"), F.min("datetime").alias("first_at"), F.max("datetime").alias("last_at"))

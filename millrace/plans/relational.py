@@ -101,7 +101,7 @@ def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(A.percentile("l_quantity", 0.5), 6).alias("p50"), F.round(A.percentile("l_extendedprice", 0.9), 4).alias("p90"))
 
 
-@query("agg_approx_percentile")
+@query("agg_approx_percentile", "SELECT l_returnflag, CAST(quantile_disc(l_quantity, 0.5) AS DOUBLE) AS p50 FROM lineitem GROUP BY l_returnflag")
 def agg_approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(A.approx_percentile("l_quantity", 0.5).alias("p50"))
 
@@ -112,6 +112,55 @@ def agg_user_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").groupBy("event_type").agg(F.round(A.user_aggregate("sum_squares", "value"), 2).alias("sq"))
 
 
+class Mean:
+    """Accumulator of whole numbers: their mean, rounded down."""
+
+    def __init__(self):
+        self.n, self.total = 0, 0
+
+    def add(self, v):
+        if v is not None:
+            self.n, self.total = self.n + 1, self.total + v
+
+    def take(self, v):
+        if v is not None:
+            self.n, self.total = self.n - 1, self.total - v
+
+    def merge(self, other):
+        self.n, self.total = self.n + other.n, self.total + other.total
+
+    def result(self):
+        return self.total // self.n if self.n else None
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a changelog: all are inserted, purchases get twice their value, and clicks are deleted."""
+    v = F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("bigint")
+    change = lambda kind, x: F.struct(F.lit(kind).alias(setops.ROW_KIND), x.alias("v"))
+    log = F.when(F.col("event_type") == "purchase", F.array(change("insert", v), change("update_before", v), change("update_after", v * 2)))
+    log = log.when(F.col("event_type") == "click", F.array(change("insert", v), change("delete", v))).otherwise(F.array(change("insert", v)))
+    return t(spark, sf_dir, "events").select("event_id", "user_id", F.inline(log))
+
+
+LEFT = "(SELECT event_id, user_id, CAST(round(coalesce(value, 0) * 100) AS BIGINT) * CASE event_type WHEN 'purchase' THEN 2 ELSE 1 END AS v FROM events WHERE event_type IS DISTINCT FROM 'click')"
+
+
+@query("changelog_aggregate", f"SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS lo, max(v) AS hi, count(DISTINCT v) AS kinds FROM {LEFT} GROUP BY user_id")
+def changelog_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setops.retracted(_changes(spark, sf_dir), ["user_id"], "n", {"total": "v"}, {"lo": "v"}, {"hi": "v"}, {"kinds": "v"})
+
+
+@query("agg_user_merged", "SELECT event_type, CAST(sum(v) // count(v) AS BIGINT) AS mean FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY event_type")
+def agg_user_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    return A.accumulate(rows, ["event_type"], Mean, ["v"], "mean", "bigint")
+
+
+@query("agg_user_retracted", f"SELECT user_id, mean FROM (SELECT user_id, CAST(sum(v) // count(v) AS BIGINT) AS mean FROM {LEFT} GROUP BY user_id)")
+def agg_user_retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.accumulate(_changes(spark, sf_dir), ["user_id"], Mean, ["v"], "mean", "bigint").filter("mean IS NOT NULL")
+
+
 @query("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setops.distinct(t(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import cep, windows
+from millrace.operators import cep, setops, windows
 from millrace.plans.eventtime import CENTS, MS, SESSIONS
 from millrace.plans.registry import query
+from millrace.plans.relational import LEFT
 from millrace.storage import new_path
 from millrace.streaming import runtime, stateful
 
@@ -72,8 +73,6 @@ def stream_over_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_topn_final", f"SELECT user_id, event_id, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_id) AS rn FROM {CENTS}) WHERE rn <= 3")
 def stream_topn_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.operators import setops
-
     rows = cents(stream(spark, sf_dir)).select("event_id", "user_id", "v")
     log = stateful.process_stream(rows, ["user_id"], lambda: stateful.TopN(3, lambda r: (-r["v"], r["event_id"])), "user_id long, event_id long, v long, __row_kind string", "event_id")
     return setops.net(runtime.drain(log))
@@ -85,6 +84,44 @@ def stream_count_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.drain(stateful.process_stream(rows, ["user_id"], lambda: stateful.CountTrigger("v", 5, "user_id"), "user_id long, n int, total long", "event_id"))
 
 
+@query("stream_count_trigger_kept", f"SELECT user_id, n, total FROM (SELECT user_id, count(*) OVER w AS n, CAST(sum(v) OVER w AS BIGINT) AS total, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {CENTS} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 11 PRECEDING)) WHERE rn % 5 = 0")
+def stream_count_trigger_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cents(stream(spark, sf_dir)).select("event_id", "user_id", "v")
+    return runtime.drain(stateful.process_stream(rows, ["user_id"], lambda: stateful.CountTrigger("v", 5, "user_id", 12), "user_id long, n long, total long", "event_id"))
+
+
+class LastClick(stateful.CoProcess):
+    """Purchases, the right input, with the key's last click, the left input."""
+
+    def __init__(self):
+        self.click = None
+
+    def left(self, row):
+        self.click = row["event_id"]
+        return ()
+
+    def right(self, row):
+        yield {"user_id": row["user_id"], "purchase": row["event_id"], "click": self.click}
+
+
+@query("stream_connect", "SELECT user_id, event_id AS purchase, click FROM (SELECT *, max(event_id) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) AS click FROM events) WHERE event_type = 'purchase'")
+def stream_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both inputs are cut at the same times, so their batches go in step."""
+    clicks, purchases = (stream(spark, sf_dir).filter(F.col("event_type") == x).select("user_id", "event_id") for x in ("click", "purchase"))
+    return runtime.drain(stateful.connect_streams(clicks, purchases, ["user_id"], LastClick, "user_id long, purchase long, click long", "event_id"))
+
+
+@query("stream_retract", f"SELECT user_id, n, total FROM (SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM {LEFT} GROUP BY user_id)")
+def stream_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of purchases updated and clicks deleted; the result's own changelog, netted."""
+    rows = cents(stream(spark, sf_dir))
+    kinds = F.when(F.col("event_type") == "purchase", F.array(F.lit("insert"), F.lit("update_before"), F.lit("update_after"))).when(F.col("event_type") == "click", F.array(F.lit("insert"), F.lit("delete"))).otherwise(F.array(F.lit("insert")))
+    log = rows.select("event_id", "user_id", "v", F.posexplode(kinds).alias("step", setops.ROW_KIND))
+    log = log.select("user_id", F.when(F.col(setops.ROW_KIND) == "update_after", F.col("v") * 2).otherwise(F.col("v")).alias("v"), setops.ROW_KIND, (F.col("event_id") * 4 + F.col("step")).alias("at"))
+    made = stateful.process_stream(log, ["user_id"], lambda: stateful.RetractingSum("v", "user_id"), f"user_id long, n long, total long, {setops.ROW_KIND} string", "at")
+    return setops.net(runtime.drain(made))
+
+
 @query("stream_pattern", "SELECT user_id, event_id AS a, next_id AS b FROM (SELECT *, lead(event_type) OVER w AS next_type, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type = 'click' AND next_type = 'purchase'")
 def stream_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cep.Pattern.begin("a").where(lambda r: r["event_type"] == "click").next("b").where(lambda r: r["event_type"] == "purchase")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import re
 import uuid
 from collections.abc import Callable, Iterable
@@ -114,6 +115,21 @@ class Engine:
             fields = lambda s: [tuple(p.strip().split(None, 1)) for p in split_top(s)]
             self.catalog.add("model", ModelDef(m[1], fields(m[2]), fields(m[3]), dialect.options(m[4])), replace)
             return Result(sql, message=f"model {m[1]}")
+        if m := re.match(r"CREATE\s+(?:OR\s+REPLACE\s+)?AGGREGATE\s+(\w+)\s*\((.*?)\)\s*RETURNS\s+(.+?)\s+LANGUAGE\s+(\w+)\s+AS\s+'([\w.]+):(\w+)'\s*$", held.back(text), re.I | re.S):
+            if m[4].lower() != "python":
+                raise Refused(f"aggregates are Python functions, not {m[4]}")
+            from millrace.functions.aggregates import REGISTRY
+
+            if m[1].lower() in REGISTRY and not replace:
+                raise Refused(f"{m[1]} exists")
+            for part in split_top(m[2]):
+                parse_type(part.strip().split(None, 1)[-1])
+            try:
+                function = getattr(importlib.import_module(m[5]), m[6])
+            except (ImportError, AttributeError) as e:
+                raise Refused(f"no function {m[5]}:{m[6]}") from e
+            self.register_aggregate(m[1], function, m[3])
+            return Result(sql, message=f"aggregate {m[1]}")
         if m := re.match(r"CREATE\s+(?:OR\s+REPLACE\s+)?FUNCTION\s+(\w+)\s*\((.*?)\)\s*RETURNS\s+(.+?)\s+LANGUAGE\s+(\w+)\s+AS\s+(.+)$", held.back(text), re.I | re.S):
             if m[4].lower() != "sql":
                 raise Refused(f"functions in {m[4]} are registered from Python")

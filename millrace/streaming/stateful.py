@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators import cep
+from millrace.errors import Refused
+from millrace.operators import cep, setops
 from millrace.operators.keyed import Row, _fields, records
 
-TAG = "_output"
+TAG, INPUT = "_output", "_input"
 
 
 class Process:
@@ -64,7 +65,7 @@ def process_stream(df: DataFrame, keys: list[str], make: Callable[[], Process],
     Rows of a micro-batch come in order of the given column; ttl_ms drops a key's state that long
     (in processing time) after its last change.
     """
-    names = [f.split()[0].strip("`") for f in _fields(schema)]
+    names, columns = [f.split()[0].strip("`") for f in _fields(schema)], df.columns
 
     class Run(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -90,9 +91,10 @@ def process_stream(df: DataFrame, keys: list[str], make: Callable[[], Process],
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             p = self._load(timerValues)
-            batch = [r for b in rows for r in records(b)]
+            # Spark hands rows over as named tuples, which lose names that begin with an underscore.
+            batch = [r for b in rows for r in records(b.set_axis(columns, axis=1))]
             if order:
-                batch.sort(key=lambda r: r[order])
+                batch.sort(key=lambda r: (r[order] is not None, r[order], r.get(INPUT)))
             out = [x for r in batch for x in p.row(r)]
             self._save(p)
             yield from self._frame(out)
@@ -110,6 +112,30 @@ def process_stream(df: DataFrame, keys: list[str], make: Callable[[], Process],
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Run(), outputStructType=schema, outputMode=mode, timeMode=kind)
 
 
+class CoProcess(Process):
+    """Base of programs with two inputs, which share the key's state and timers."""
+
+    def row(self, row: Row) -> Iterable[Row]:
+        return (self.left if row.pop(INPUT) == 1 else self.right)(row)
+
+    def left(self, row: Row) -> Iterable[Row]:
+        return ()
+
+    def right(self, row: Row) -> Iterable[Row]:
+        return ()
+
+
+def connect_streams(left: DataFrame, right: DataFrame, keys: list[str], make: Callable[[], CoProcess], schema: str, order: str | None = None, time: str = "none", ttl_ms: int | None = None, mode: str = "append") -> DataFrame:
+    """Two streams in one program for each key. Columns of one name are of one type; where both rows are equal in order, the left comes first.
+
+    Rows meet in order within a micro-batch only: a program must not rely on order between batches of unlike streams.
+    """
+    if INPUT in left.columns + right.columns:
+        raise Refused(f"reserved name: {INPUT}")
+    both = left.withColumn(INPUT, F.lit(1)).unionByName(right.withColumn(INPUT, F.lit(2)), allowMissingColumns=True)
+    return process_stream(both, keys, make, schema, order, time, ttl_ms, mode)
+
+
 def side_output(df: DataFrame, tag: str | None = None) -> DataFrame:
     """Rows that a program gave under a tag in its `_output` column; without a tag its main output."""
     own = F.col(TAG).isNull() if tag is None else F.col(TAG) == tag
@@ -162,16 +188,42 @@ class TopN(Process):
 
 
 class CountTrigger(Process):
-    """Fires a global window every n rows with their sum of a column, and purges it."""
+    """Fires a global window every n rows with the count of its rows and their sum of a column, and purges it.
+
+    With `keep`, firing does not purge: the window's evictor leaves its last `keep` rows, which are all that is stored.
+    """
 
-    def __init__(self, column: str, n: int, key: str):
-        self.column, self.n, self.key, self.held = column, n, key, []
+    def __init__(self, column: str, n: int, key: str, keep: int | None = None):
+        self.column, self.n, self.key, self.keep, self.new, self.held = column, n, key, keep, 0, []
 
     def row(self, row: Row) -> Iterable[Row]:
+        self.new += 1
         self.held.append(row[self.column])
-        if len(self.held) == self.n:
-            yield {self.key: row[self.key], "n": self.n, "total": sum(x for x in self.held if x is not None)}
-            self.held = []
+        if self.keep is not None:
+            del self.held[: -self.keep]
+        if self.new == self.n:
+            yield {self.key: row[self.key], "n": len(self.held), "total": sum(x for x in self.held if x is not None)}
+            self.new = 0
+            if self.keep is None:
+                self.held = []
+
+
+class RetractingSum(Process):
+    """Count and sum of a changelog's column, itself as a changelog: each change takes the old result back and gives the new one."""
+
+    def __init__(self, column: str, key: str):
+        self.column, self.key, self.n, self.total = column, key, 0, 0
+
+    def row(self, row: Row) -> Iterable[Row]:
+        sign, old = -1 if row.get(setops.ROW_KIND) in setops.TAKES else 1, self.n
+        if old:
+            yield {self.key: row[self.key], "n": old, "total": self.total, setops.ROW_KIND: "delete" if old + sign == 0 else "update_before"}
+        self.n, self.total = old + sign, self.total + sign * (row[self.column] or 0)
+        if self.n:
+            yield {self.key: row[self.key], "n": self.n, "total": self.total, setops.ROW_KIND: "update_after" if old else "insert"}
+
+    def done(self) -> bool:
+        return self.n == 0
 
 
 class Deadline(Process):

@@ -356,3 +356,16 @@ def test_database_upserts_need_a_client(spark):
     t = Table("t", [("a", "BIGINT")], {"connector": "postgres", "mode": "upsert"}, ["a"])
     with pytest.raises(Refused):
         connectors.write(spark.range(1).toDF("a"), t, "upsert")
+
+
+def widest(values):
+    """Named by CREATE AGGREGATE below."""
+    return float(values.max() - values.min())
+
+
+def test_aggregates_by_name_of_their_function(engine):
+    engine.execute(f"CREATE OR REPLACE AGGREGATE widest(x DOUBLE) RETURNS DOUBLE LANGUAGE python AS '{__name__}:widest'")
+    assert rows(engine, "SELECT widest(value) FROM ev")[0][0] == pytest.approx(rows(engine, "SELECT max(value) - min(value) FROM ev")[0][0])
+    for sql in ("CREATE AGGREGATE widest(x DOUBLE) RETURNS DOUBLE LANGUAGE python AS 'a:b'", "CREATE AGGREGATE w2(x DOUBLE) RETURNS DOUBLE LANGUAGE wasm AS 'a:b'", "CREATE AGGREGATE w2(x DOUBLE) RETURNS DOUBLE LANGUAGE python AS 'nothing.there:b'"):
+        with pytest.raises(Refused):
+            engine.execute(sql)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.errors import Refused
+from millrace.functions import aggregates
 from millrace.operators import joins, keyed, setops, vector, windows
 from millrace.operators.cep import Matcher, Pattern, sequence_pattern
 from millrace.operators.dataflow import Stream
@@ -253,3 +254,53 @@ def test_failed_calls_wait_longer_each_time():
     assert times[1] - times[0] >= 0.05 and times[2] - times[1] >= 0.1
     with pytest.raises(OSError):
         joins.patient(lambda row: (_ for _ in ()).throw(OSError()), 1, 0.01)({})
+
+
+class Range:
+    """Accumulator of the least and largest value."""
+
+    def __init__(self):
+        self.values = []
+
+    def add(self, v):
+        self.values = [min([v, *self.values]), max([v, *self.values])] if v is not None else self.values
+
+    def merge(self, other):
+        for v in other.values:
+            self.add(v)
+
+    def result(self):
+        return self.values[1] - self.values[0] if self.values else None
+
+
+def test_keyed_programs_get_whole_numbers_next_to_nulls_and_one_group_of_nan(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(float("nan"), 1, big), (float("nan"), 2, None), (1.0, 1, big)], "k double, o long, v long")
+    got = keyed.reduce_each(df, ["k"], [F.col("o")], lambda a, b: {**b, "v": a["v"]}, "k double, o long, v long", on_flush=True).collect()
+    assert sorted(r["v"] for r in got) == [big, big]
+
+
+def test_accumulators_merge_over_tasks(spark, monkeypatch):
+    rows = [(k if k < 3 else None, 2**60 + v) for v in range(50) for k in range(4)] + [(7, None)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    want = [(7, None), *((k, 49) for k in (0, 1, 2, None))]
+    for most in (10_000, 2):  # with few keys held, a key has several states in a task
+        monkeypatch.setattr(aggregates, "HELD_KEYS", most)
+        got = [tuple(r) for r in aggregates.accumulate(df, ["k"], Range, ["v"], "spread", "bigint").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert aggregates.accumulate(df.limit(0), ["k"], Range, ["v"], "spread", "bigint").count() == 0
+
+
+def test_retracted_aggregates_forget_what_is_taken_back(spark):
+    log = [("a", 5, "insert"), ("a", 9, "insert"), ("a", 9, "delete"), ("b", 1, "insert"), ("b", 1, "delete"), (None, None, None), ("c", 2, "insert"), ("c", 2, "update_before"), ("c", 3, "update_after")]
+    df = spark.createDataFrame(log, f"k string, v long, {setops.ROW_KIND} string")
+    got = setops.retracted(df, ["k"], "n", {"s": "v"}, {"lo": "v"}, {"hi": "v"}, {"d": "v"}).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 1, 5, 5, 5, 1), ("c", 1, 3, 3, 3, 1), (None, 1, None, None, None, 0)], key=str)
+    with pytest.raises(Refused):
+        setops.retracted(df, ["k"], "k")
+
+
+def test_connected_streams_refuse_the_reserved_name(spark):
+    df = spark.createDataFrame([(1, 1)], "k long, _input long")
+    with pytest.raises(Refused):
+        stateful.connect_streams(df, df, ["k"], stateful.CoProcess, "k long")
