@@ -147,10 +147,14 @@ class KeyedStream:
     def session(self, ts: str, gap_ms: int, *aggregates: Column) -> Stream:
         return Stream(windows.session_merging(self.df, ts, gap_ms, self.keys, *aggregates))
 
-    def window_process(self, ts: str, size_ms: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Stream:
-        """A function of all rows of a key's tumbling window, which it holds at once."""
+    def window_process(self, ts: str, size_ms: int, f: Callable[[Iterator[Row]], Iterable[Row]], schema: str) -> Stream:
+        """A function of the rows of a key's tumbling window, in order of time: it gets an iterator of them and gives rows.
+
+        Windows are walked one after the other in sorted partitions, so a window costs no call of its own
+        between Spark and Python, and holds no more than its function keeps.
+        """
         rows = self.df.withColumn("_window", F.window(ts, f"{size_ms} milliseconds").getField("start"))
-        return Stream(rows.groupBy(*self.keys, "_window").applyInPandas(lambda pdf: f(pdf.drop(columns="_window")), schema))
+        return Stream(keyed.run_groups(rows, [*self.keys, "_window"], [F.col(ts)], f, schema))
 
     def evicting(self, ts: str, size_ms: int, last: int | None = None, max_age_ms: int | None = None) -> Stream:
         return Stream(windows.evict(self.df, ts, size_ms, self.keys, last, max_age_ms))

@@ -8,6 +8,7 @@ more memory than its program keeps.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 from typing import Any, Protocol
 
 import numpy as np
@@ -70,6 +71,20 @@ def run_keyed(df: DataFrame, keys: list[str], order: list[Column], make: Callabl
     return ordered.mapInArrow(run, schema)
 
 
+def run_groups(df: DataFrame, keys: list[str], order: list[Column], f: Callable[[Iterator[Row]], Iterable[Row]], schema: str, batch: int = 4096) -> DataFrame:
+    """Rows that a function gives for each key from an iterator of the key's rows in order; rows that it leaves are skipped."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+    ordered = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        made = (r for _, group in groupby(rows, lambda r: key_of(r, keys)) for r in f(group))
+        while out := list(islice(made, batch)):
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def _fields(schema: str) -> list[str]:
     from millrace.types import split_top
 

@@ -108,8 +108,14 @@ def win_evict_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_process", f"SELECT user_id, count(*) AS n, max(value) - min(value) AS spread FROM events GROUP BY user_id, {MS} // 86400000")
 def win_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def spread(pdf):
-        return pdf.groupby("user_id", as_index=False).agg(n=("value", "size"), spread=("value", lambda v: v.max() - v.min()))
+    def spread(rows):
+        n, user, lo, hi = 0, None, None, None
+        for r in rows:
+            n, user, v = n + 1, r["user_id"], r["value"]
+            if v is not None:  # NaN is the largest value, as in SQL
+                lo = v if lo is None or lo != lo or v < lo else lo
+                hi = v if hi is None or v != v or v > hi else hi
+        yield {"user_id": user, "n": n, "spread": None if lo is None else hi - lo}
 
     return Stream(events(spark, sf_dir).select("user_id", "ts", "value")).key_by("user_id").window_process("ts", 86_400_000, spread, "user_id long, n long, spread double").df
 

@@ -3,6 +3,7 @@
 import datetime
 import json
 import time
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -304,3 +305,17 @@ def test_connected_streams_refuse_the_reserved_name(spark):
     df = spark.createDataFrame([(1, 1)], "k long, _input long")
     with pytest.raises(Refused):
         stateful.connect_streams(df, df, ["k"], stateful.CoProcess, "k long")
+
+
+def test_window_process_streams_each_window_once(spark):
+    """Fifty thousand windows; a pandas group for each took minutes. Rows come in order, nulls stay null and NaN stays NaN."""
+    many = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), F.timestamp_millis(F.col("id") % 2 * 60_000 + F.col("id") % 7).alias("ts"), F.col("id").cast("double").alias("v"))
+    seen = lambda rows: ({"k": r["k"], "n": n} for n, r in enumerate(rows))
+    began = time.monotonic()
+    got = Stream(many).key_by("k").window_process("ts", 60_000, seen, "k long, n int").df
+    assert got.count() == 200_000 and got.filter("n = 0").count() == 50_000
+    assert time.monotonic() - began < 60
+    odd = spark.createDataFrame([(1, 5, None), (1, 3, float("nan")), (1, 9, 2.0), (None, 1, None)], "k long, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    first = lambda rows: ({"k": r["k"], "s": r["s"], "v": None if r["v"] is None else str(r["v"])} for r in islice(rows, 2))
+    got = {tuple(r) for r in Stream(odd).key_by("k").window_process("ts", 60_000, first, "k long, s long, v string").df.collect()}
+    assert got == {(1, 3, "nan"), (1, 5, None), (None, 1, None)}
