@@ -319,3 +319,13 @@ def test_window_process_streams_each_window_once(spark):
     first = lambda rows: ({"k": r["k"], "s": r["s"], "v": None if r["v"] is None else str(r["v"])} for r in islice(rows, 2))
     got = {tuple(r) for r in Stream(odd).key_by("k").window_process("ts", 60_000, first, "k long, s long, v string").df.collect()}
     assert got == {(1, 3, "nan"), (1, 5, None), (None, 1, None)}
+
+
+def test_discrete_percentiles_are_exact_at_a_border_of_equal_values(spark, tmp_path):
+    """Of 300,001 values over 8 files one fewer than half are 25: the sketch's ranks can't tell, the query has to."""
+    rows = spark.range(0, 300_001, 1, 8).select(F.lit("R").alias("l_returnflag"), F.when(F.col("id") < 150_000, 25.0).otherwise(26.0).alias("l_quantity"))
+    border = rows.union(spark.createDataFrame([("A", 25.0)] * 2 + [("A", 26.0)] * 2 + [("N", None), (None, 7.0), (None, float("nan"))], "f string, q double"))
+    border.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r[0]: r[1] for r in catalogue.queries()["agg_approx_percentile"](spark, str(tmp_path)).collect()}
+    assert got == {"R": 26.0, "A": 25.0, "N": None, None: 7.0}
+    assert aggregates.discrete_percentile(border, [], "l_quantity", 0.0, "p").collect()[0][0] == 7.0
