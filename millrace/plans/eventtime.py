@@ -249,7 +249,7 @@ for _metric, _f, _dir in (("cosine", "list_cosine_similarity(q.v, c.v)", "DESC")
     def _vector(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
         e = t(spark, sf_dir, "embeddings")
         q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-        return vector.search(q, "query_id", "qv", e.select("vec_id", "embedding"), "vec_id", "embedding", 5, metric).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+        return vector.search(q, "query_id", "qv", e.select("vec_id", "embedding"), "vec_id", "embedding", 5, metric, vectors=False).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -263,4 +263,4 @@ for _metric, _f, _dir in (("cosine", "list_cosine_similarity(q.v, c.v)", "DESC")
 def vector_filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.when(F.col("vec_id") % 200 != 0, F.col("label")).alias("ql"))
-    return vector.search(q, "query_id", "qv", e, "vec_id", "embedding", 3, "dot", [("ql", "label")]).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return vector.search(q, "query_id", "qv", e, "vec_id", "embedding", 3, "dot", [("ql", "label")], vectors=False).select("query_id", "vec_id", F.round("score", 6).alias("score"))

@@ -6,6 +6,7 @@ import time
 from itertools import islice
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.errors import Refused
@@ -329,3 +330,27 @@ def test_discrete_percentiles_are_exact_at_a_border_of_equal_values(spark, tmp_p
     got = {r[0]: r[1] for r in catalogue.queries()["agg_approx_percentile"](spark, str(tmp_path)).collect()}
     assert got == {"R": 26.0, "A": 25.0, "N": None, None: 7.0}
     assert aggregates.discrete_percentile(border, [], "l_quantity", 0.0, "p").collect()[0][0] == 7.0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_searches_go_by_blocks_and_agree_with_every_pair(spark, monkeypatch, metric):
+    """Ties, copies, zero, huge, infinite and NaN vectors, several lengths and blocks, filters that are NULL or NaN; no row for each pair in the plan."""
+    nan, inf = float("nan"), float("inf")
+    some = [[float((n * 7 + k * k * 3) % 5 - 2) for k in range(4)] for n in range(40)]
+    odd = [[0.0] * 4, [nan, 1.0, 0.0, 0.0], [inf, 0.0, 0.0, 1.0], [-inf, 1.0, 0.0, 0.0], [1e200, 1e200, 0.0, 1.0], [1e-200, 0.0, 0.0, 0.0], [1.0, 2.0], [], [1.0, None], None]
+    vectors = [*some, *odd, *some[:9], [1e-9, 3.0, -7e5, 0.1]]
+    tags = [1.0, nan, None, 2.0]
+    c = spark.createDataFrame([(n, v, tags[n % 4]) for n, v in enumerate(vectors)], "id long, v array<double>, t double")
+    q = spark.createDataFrame([(n, v, tags[n // 3 % 4]) for n, v in enumerate(vectors)], "q long, w array<double>, u double")
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 13)
+    found = vector.search(q, "q", "w", c, "id", "v", 3, metric, [("u", "t")])
+    assert found.columns == ["q", "w", "u", "id", "v", "t", "score"]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
+    minus = F.zip_with("w", "v", lambda i, j: i - j)
+    value = {"dot": dot(F.col("w"), F.col("v")), "l2": dot(minus, minus), "cosine": F.try_divide(dot(F.col("w"), F.col("v")), F.sqrt(dot(F.col("w"), F.col("w"))) * F.sqrt(dot(F.col("v"), F.col("v"))))}[metric]
+    every = q.crossJoin(c).filter((F.size("w") == F.size("v")) & (F.col("u").isNull() | (F.col("u") == F.col("t")))).withColumn("score", value).filter("score IS NOT NULL")
+    best = F.asc("score") if metric == "l2" else F.desc("score")
+    want = every.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(best, "id"))).filter("r <= 3").select("q", "id", "score")
+    plain = lambda df: sorted((r[0], r[1], repr(r[2])) for r in df.collect())
+    assert plain(found.select("q", "id", "score")) == plain(want)
