@@ -13,19 +13,29 @@ from millrace.storage import new_path
 from millrace.streaming import runtime, stateful
 
 
-#: Files that a table of events is cut into, in order of time; each is a batch of a stream.
-FILES = 4
+#: Slices that a table of events is cut into, in order of time; each is a batch of a stream. Rows of a file of a slice.
+SLICES, FILE_ROWS = 4, 500_000
 
 
 def stream(spark: SparkSession, sf_dir: str, lag_ms: int = 0) -> DataFrame:
-    """All events as a stream of FILES batches: state and watermark go from one to the next."""
+    """All events as a stream of SLICES batches: state and watermark go from one to the next.
+
+    A batch takes so many files, so all slices have to have as many. Where a slice has at least that many rows for
+    each task that deals them out in turn, no file of it stays empty; otherwise each slice is one file.
+    """
     path, events = new_path(spark, "events"), spark.read.parquet(f"{sf_dir}/events.parquet")
-    least, most = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    step = ((most or 0) - (least or 0)) // FILES + 1
-    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(least or 0)) / step)
-    for k in range(FILES):  # files are read by their time of writing
-        events.filter(F.coalesce(part, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(path)
-    return runtime.with_event_time(runtime.read_files(spark, path, events.schema, 1), "ts", lag_ms)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    least, most = events.agg(F.min(micros), F.max(micros)).first()
+    step = ((most or 0) - (least or 0)) // SLICES + 1
+    part = F.coalesce(F.floor((micros - F.lit(least or 0)) / step), F.lit(0))
+    rows = dict(events.groupBy(part.alias("k")).count().collect())
+    files = max(rows.values(), default=0) // FILE_ROWS + 1
+    if min(rows.get(k, 0) for k in range(SLICES)) < files * events.rdd.getNumPartitions():
+        files = 1
+    for k in range(SLICES):  # files are read by their time of writing
+        piece = events.filter(part == k)
+        (piece.repartition(files) if files > 1 else piece.coalesce(1)).write.mode("append").parquet(path)
+    return runtime.with_event_time(runtime.read_files(spark, path, events.schema, files), "ts", lag_ms)
 
 
 def cents(df: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Row as SparkRow
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.errors import Refused
 from millrace.operators import cep, setops
-from millrace.operators.keyed import Row, _fields, records
+from millrace.operators.keyed import Row, _fields
 
 TAG, INPUT = "_output", "_input"
 
@@ -63,9 +63,11 @@ def process_stream(df: DataFrame, keys: list[str], make: Callable[[], Process],
     """Run a program for each key of a stream. time: none, event or processing, for its timers.
 
     Rows of a micro-batch come in order of the given column; ttl_ms drops a key's state that long
-    (in processing time) after its last change.
+    (in processing time) after its last change. Rows travel as rows: a pandas frame for each key and
+    batch would cost more than the programs.
     """
     names, columns = [f.split()[0].strip("`") for f in _fields(schema)], df.columns
+    made = SparkRow(*names)
 
     class Run(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -85,31 +87,26 @@ def process_stream(df: DataFrame, keys: list[str], make: Callable[[], Process],
             else:
                 self.state.update((pickle.dumps(p.save()),))
 
-        def _frame(self, rows: list[Row]) -> Iterator[pd.DataFrame]:
-            if rows:
-                yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[SparkRow]:
             p = self._load(timerValues)
-            # Spark hands rows over as named tuples, which lose names that begin with an underscore.
-            batch = [r for b in rows for r in records(b.set_axis(columns, axis=1))]
+            batch = [dict(zip(columns, r, strict=True)) for r in rows]
             if order:
                 batch.sort(key=lambda r: (r[order] is not None, r[order], r.get(INPUT)))
-            out = [x for r in batch for x in p.row(r)]
+            out = [made(*map(x.get, names)) for r in batch for x in p.row(r)]
             self._save(p)
-            yield from self._frame(out)
+            return iter(out)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[SparkRow]:
             p = self._load(timerValues)
-            out = list(p.timer(expiredTimerInfo.getExpiryTimeInMs()))
+            out = [made(*map(x.get, names)) for x in p.timer(expiredTimerInfo.getExpiryTimeInMs())]
             self._save(p)
-            yield from self._frame(out)
+            return iter(out)
 
         def close(self) -> None:
             pass
 
     kind = {"none": "None", "event": "EventTime", "processing": "ProcessingTime"}[time]
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Run(), outputStructType=schema, outputMode=mode, timeMode=kind)
+    return df.groupBy(*keys).transformWithState(statefulProcessor=Run(), outputStructType=schema, outputMode=mode, timeMode=kind)
 
 
 class CoProcess(Process):

@@ -14,7 +14,7 @@ from millrace.functions import aggregates
 from millrace.operators import joins, keyed, setops, vector, windows
 from millrace.operators.cep import Matcher, Pattern, sequence_pattern
 from millrace.operators.dataflow import Stream
-from millrace.plans import catalogue
+from millrace.plans import catalogue, streams
 from millrace.streaming import runtime, stateful
 
 
@@ -354,3 +354,34 @@ def test_searches_go_by_blocks_and_agree_with_every_pair(spark, monkeypatch, met
     want = every.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(best, "id"))).filter("r <= 3").select("q", "id", "score")
     plain = lambda df: sorted((r[0], r[1], repr(r[2])) for r in df.collect())
     assert plain(found.select("q", "id", "score")) == plain(want)
+
+
+def test_programs_on_streams_get_whole_numbers_and_nan_as_they_are(spark, tmp_path):
+    """Through pandas a nullable whole number above 2^53 lost digits and NaN became NULL; rows don't. State goes on over batches."""
+
+    class Seen(stateful.Process):
+        n = 0
+
+        def row(self, row):
+            self.n += 1
+            yield {**row, "n": self.n, "text": str(row["d"])}
+
+    big = 2**53 + 1
+    for k, rows in enumerate([[(1, big, None, 0), (1, None, float("nan"), 1)], [(1, big + 2, 1.5, 2)]]):
+        spark.createDataFrame(rows, "k long, v long, d double, _at int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/s")
+    df = runtime.read_files(spark, f"{tmp_path}/s", spark.read.parquet(f"{tmp_path}/s").schema, 1)
+    out = runtime.drain(stateful.process_stream(df, ["k"], Seen, "k long, v long, n int, text string", "_at"))
+    assert {tuple(r) for r in out.collect()} == {(1, big, 1, "None"), (1, None, 2, "nan"), (1, big + 2, 3, "1.5")}
+
+
+def test_slices_of_a_stream_are_whole_batches_of_several_files(spark, tmp_path, monkeypatch):
+    """Each batch has a slice's rows, all of them, whether a slice is one file or several."""
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for most, files in ((500_000, 1), (300, 4)):
+        monkeypatch.setattr(streams, "FILE_ROWS", most)
+        seen, df = {}, streams.stream(spark, str(tmp_path))
+        take = lambda b, n, seen=seen: seen.update({n: b.select("event_id", F.input_file_name()).collect()})
+        runtime.start(df, take, "append").awaitTermination()
+        assert {n: sorted(r[0] for r in got) for n, got in seen.items()} == {n: list(range(n * 1000, n * 1000 + 1000)) for n in range(4)}
+        assert {len({r[1] for r in got}) for got in seen.values()} == {files}
